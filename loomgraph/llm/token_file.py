@@ -23,6 +23,7 @@ import posixpath
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,10 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: Other white space: texts with it are encoded whole, as a cut beside it could change a piece.
 _WIDE_BLANK = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_LETTER = np.zeros(256, bool)
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
+_STOP = np.zeros(256, bool)
+_STOP[[44, 46]] = True
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -110,11 +115,56 @@ def load_tokenizer(path: str):
     return t
 
 
-def encode_texts(tokenizer, texts: pa.Array, slice_bytes: int = 24_000_000):
+class SegmentCoder:
+    """A tokenizer with the ids of segments seen before, up to a number of segments kept in Arrow arrays."""
+
+    CHUNK = 8192
+
+    def __init__(self, tokenizer, keep: int = 600_000):
+        self.tokenizer, self.keep = tokenizer, keep
+        self._forget()
+
+    def _forget(self):
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def ids(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, first, length) of distinct segments."""
+        at = pc.index_in(segments, value_set=self.known)
+        new = segments.filter(pc.is_null(at))
+        if len(new):
+            flat, n = [], []
+            for i in range(0, len(new), self.CHUNK):  # the library's results are large; only a chunk of them exists at a time
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(new.slice(i, self.CHUNK).to_pylist(), add_special_tokens=False)]
+                n.append(np.fromiter(map(len, found), np.int64, len(found)))
+                flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(n[-1].sum())))
+            self.known = pa.concat_arrays([self.known, new])
+            self.flat = np.concatenate([self.flat, *flat])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(n))])
+            at = pc.index_in(segments, value_set=self.known)
+        k = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        out = self.flat, self.bounds[k], self.bounds[k + 1] - self.bounds[k]
+        if len(self.known) > self.keep:
+            self._forget()
+        return out
+
+
+_coders: dict[str, SegmentCoder] = {}
+
+
+def coder(path: str) -> SegmentCoder:
+    """One for each Python worker, which serves many tasks."""
+    if path not in _coders:
+        _coders[path] = SegmentCoder(load_tokenizer(path))
+    return _coders[path]
+
+
+def encode_texts(segments: SegmentCoder, texts: pa.Array, slice_bytes: int = 12_000_000):
     """Yields (ids of all the slice's texts, their lengths) for slices of a string array; null counts as empty.
 
-    Texts are cut before each run of ASCII blanks, where the byte-level pattern always
-    begins a new piece; each different segment of a slice is encoded once.
+    Texts are cut before each run of ASCII blanks, and between an ASCII letter and a stop
+    or comma: there the byte-level pattern always begins a new piece. Each different
+    segment of a slice is encoded at most once.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
@@ -122,11 +172,11 @@ def encode_texts(tokenizer, texts: pa.Array, slice_bytes: int = 24_000_000):
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(cum, cum[at] + slice_bytes, side="right")) - 1)
-        yield _encode_slice(tokenizer, pa.concat_arrays([texts.slice(at, to - at)]))
+        yield _encode_slice(segments, pa.concat_arrays([texts.slice(at, to - at)]))
         at = to
 
 
-def _encode_slice(tokenizer, texts: pa.Array):
+def _encode_slice(coder_: SegmentCoder, texts: pa.Array):
     n = len(texts)
     wide = pc.match_substring_regex(texts, _WIDE_BLANK).to_numpy(zero_copy_only=False)
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
@@ -134,6 +184,7 @@ def _encode_slice(tokenizer, texts: pa.Array):
     blank = _BLANK[data]
     begins = blank.copy()
     begins[1:] &= ~blank[:-1]
+    begins[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
     for i in np.flatnonzero(wide):
         begins[off[i] : off[i + 1]] = False
     begins[: off[0]] = False
@@ -142,10 +193,7 @@ def _encode_slice(tokenizer, texts: pa.Array):
     cuts = np.append(np.flatnonzero(begins), off[-1]).astype(np.int64)
     segments = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), texts.buffers()[2])
     coded = pc.dictionary_encode(segments)
-    found = [e.ids for e in tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((x for f in found for x in f), np.uint32, int(lengths.sum()))
-    first = np.cumsum(lengths) - lengths
+    flat, first, lengths = coder_.ids(coded.dictionary)
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     per_segment = lengths[codes]
     ends = np.cumsum(per_segment)
@@ -202,8 +250,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        tokenizer = load_tokenizer(tokenizer_path)
-        width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        segments = coder(tokenizer_path)
+        width = 2 if max(segments.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         doc_ids: list = []
@@ -221,7 +269,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         for b in batches:
             keys = b.column("doc_id").to_pylist()
             at = 0
-            for ids, lengths in encode_texts(tokenizer, b.column("text")):
+            for ids, lengths in encode_texts(segments, b.column("text")):
                 out = np.full(len(ids) + len(lengths), end_id, np.uint16 if width == 2 else np.uint32)
                 keep = np.ones(len(out), bool)
                 keep[np.cumsum(lengths + 1) - 1] = False

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomgraph.llm.q_tokens import op4_token_file, tokenizer_path
-from loomgraph.llm.token_file import EliasFano, encode_texts, load_tokenizer, token_table
+from loomgraph.llm.token_file import EliasFano, SegmentCoder, encode_texts, load_tokenizer, token_table
 
 
 @settings(max_examples=60, deadline=None)
@@ -24,13 +24,14 @@ def test_elias_fano_is_small():
 
 
 TOKENIZER = load_tokenizer(tokenizer_path())
+CODER = SegmentCoder(TOKENIZER, keep=40)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(st.sampled_from(list("ab'sé 1\n\t\r\x0b\x85\xa0  .<|>")), max_size=40)), max_size=6), st.integers(1, 60))
 def test_segments_equal_whole_encoding(texts, slice_bytes):
     got = []
-    for ids, n in encode_texts(TOKENIZER, pa.array(texts, pa.string()), slice_bytes):
+    for ids, n in encode_texts(CODER, pa.array(texts, pa.string()), slice_bytes):
         got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if len(n) else []
     assert got == [TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in texts]
 
