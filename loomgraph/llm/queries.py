@@ -7,7 +7,8 @@ from .q_mixing import op6_entropy_mix
 from .q_near_dedup import op9_odd_sketch_dedup
 from .q_quality import OP1_SQL, op1_line_rules
 from .q_tokens import op4_token_file
+from .q_toxicity import op10_string_kernel_toxicity
 from .q_urls import OP3_SQL, op3_host_reputation
 
-QUERIES = {"op1_line_rules": op1_line_rules, "op2_benchmark_leaks": op2_benchmark_leaks, "op3_host_reputation": op3_host_reputation, "op4_token_file": op4_token_file, "op6_entropy_mix": op6_entropy_mix, "op9_odd_sketch_dedup": op9_odd_sketch_dedup}
+QUERIES = {"op1_line_rules": op1_line_rules, "op2_benchmark_leaks": op2_benchmark_leaks, "op3_host_reputation": op3_host_reputation, "op4_token_file": op4_token_file, "op6_entropy_mix": op6_entropy_mix, "op9_odd_sketch_dedup": op9_odd_sketch_dedup, "op10_string_kernel_toxicity": op10_string_kernel_toxicity}
 ORACLE_SQL: dict[str, str] = {"op1_line_rules": OP1_SQL, "op2_benchmark_leaks": OP2_SQL, "op3_host_reputation": OP3_SQL}
