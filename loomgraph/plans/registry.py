@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import q_graph
+
+_MODULES = (q_graph,)
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
