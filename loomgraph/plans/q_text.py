@@ -9,6 +9,7 @@ from ..operators import incremental as inc
 from ..operators import instructions as ins
 from ..operators import runtime as rt
 from ..sources.adapters import CHUNK, CODE, view
+from ..sources.scratch import materialize
 
 RAW = "SELECT source AS file, doc_id AS seq, text FROM documents WHERE text IS NOT NULL"
 
@@ -18,7 +19,7 @@ def _classified(spark, sf):
 
 
 def _sig(spark, sf):
-    return ins.signatures(_classified(spark, sf))
+    return materialize(ins.signatures(_classified(spark, sf)), "signatures")
 
 
 def chunk_topics(spark, sf):
@@ -56,7 +57,7 @@ def semantic_duplicates(spark, sf):
 
 def _red(spark, sf):
     sig = _sig(spark, sf)
-    return ins.redundancies(sig, ins.topic_collisions(sig), ins.scope_conflicts(sig), ins.contradictions(sig))
+    return materialize(ins.redundancies(sig, ins.topic_collisions(sig), ins.scope_conflicts(sig), ins.contradictions(sig)), "redundancies")
 
 
 def redundancy_dedupe(spark, sf):
