@@ -32,7 +32,7 @@ def event_handlers(entries: DataFrame, entities: DataFrame, edges: DataFrame) ->
 def trace(starts: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
     """root, id, depth, confidence: what each start (id) reaches by calls and routes, breadth first. The confidence decays by hop until it is pruned."""
     known = entities.select("id")
-    adj = edges.where(F.col("type").isin("calls", "routes_to")).select("source", "target").distinct().join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+    adj = materialize(edges.where(F.col("type").isin("calls", "routes_to")).select("source", "target").distinct().join(known.withColumnRenamed("id", "target"), "target", "left_semi"), "adjacency")
     layer = materialize(starts.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0).cast("long")), "trace")
     seen, depth, conf = layer, 0, 1.0
     while depth < MAX_DEPTH and conf * DECAY > PRUNE:

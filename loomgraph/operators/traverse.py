@@ -14,7 +14,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     Only the frontier is joined with the edges; visited nodes are removed by an anti-join,
     so the work of all rounds is one pass over the reached part.
     """
-    adj = edges.select("source", "target").distinct()
+    adj = materialize(edges.select("source", "target").distinct(), "adjacency")
     layer = materialize(seeds.select("id").distinct().withColumn("depth", F.lit(0).cast("long")), "bfs")
     seen, depth = layer, 0
     while max_depth is None or depth < max_depth:
@@ -24,6 +24,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
         if layer.isEmpty():
             break
         seen = seen.unionByName(layer)
+        if depth % 8 == 0:  # keeps plans small on long chains
+            seen = materialize(seen, "bfs")
     return seen
 
 
