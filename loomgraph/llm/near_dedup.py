@@ -37,6 +37,8 @@ _A = _RNG.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, K, dtype=np.uint64)
 _I = np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 64
+#: Leaders of a band in a round: 1, 8, 64 and then so many.
+MAX_LEADERS = 256
 BROADCAST_ROWS = 200_000
 FEATURES = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
 
@@ -140,17 +142,14 @@ class _Job:
 
     def links(self) -> Table:
         twice = 2 * self.percent - 100
-        found, rows, leaders = [], self.first.df.where("c <> l"), 1
-        active = self.first
+        tested, rows, leaders = None, self.first.df.where("c <> l"), 1
         while rows is not None:
             pairs = rows.select("l", "c").distinct()
-            for d in found:
-                pairs = pairs.join(d.df, ["l", "c"], "left_anti")
-            done = self.verify(pairs)
-            found.append(done)
-            ok = self.linked(found[0].df)
-            for d in found[1:]:
-                ok = ok.unionByName(self.linked(d.df))
+            if tested is not None:
+                pairs = pairs.join(tested.df.select("l", "c"), ["l", "c"], "left_anti")
+            new = self.verify(pairs).df
+            tested = Table(new if tested is None else new.unionByName(tested.df), "tested")
+            ok = self.linked(tested.df)
             # who is linked to one of its band's leaders has left the band; leaders have met all its members
             left = rows.join(ok.select("l", "c", F.lit(True).alias("ok")), ["l", "c"], "left").groupBy("key", "c").agg(F.max("ok").alias("ok")).where("ok IS NULL")
             heads = rows.select("key", F.col("l").alias("c")).distinct()
@@ -160,14 +159,11 @@ class _Job:
             if active.df.isEmpty():
                 rows = None
             else:
-                leaders = min(leaders * 4, 64)
+                leaders = min(leaders * 8, MAX_LEADERS)
                 rank = F.row_number().over(Window.partitionBy("key").orderBy("c"))
                 head = Table(active.df.withColumn("r", rank).where(F.col("r") <= leaders).select("key", F.col("c").alias("l")), "leaders")
                 rows = active.df.join(head.df, "key").where("l < c")
-        all_ = found[0].df
-        for d in found[1:]:
-            all_ = all_.unionByName(d.df)
-        tested = Table(all_.where(100 * F.col("inter") >= twice * F.col("uni")), "tested")
+        tested = Table(tested.df.where(100 * F.col("inter") >= twice * F.col("uni")), "near-tested")
         ok = self.linked(tested.df)
         cc = components(ok.select(F.col("c").alias("u"), F.col("l").alias("v")))
         label = cc.df.select(F.col("u").alias("c"), F.col("v").alias("lab"))
