@@ -3,8 +3,8 @@
 The vectors are sparse: terms are runs of letters and digits in lower case, a term's
 weight is its count times its inverse frequency among the templates; a term of none has
 the weight of the rarest. By the prefix principle a text can only reach the threshold
-against a template if it has one of the template's anchors, the heaviest terms without
-which what is left of the template is too short a vector. Texts and lines without any
+against a template if it has one of the template's anchors, terms without which what
+is left of the template is too short a vector. Texts and lines without any
 anchor are skipped, which loses nothing; the rest are scored by one aggregation.
 """
 
@@ -41,6 +41,7 @@ TEMPLATES = [
 #: Names of licence files, in lower case, without extension.
 FILE_NAMES = ("license", "licence", "copying", "unlicense", "notice")
 THRESHOLD = 0.7
+COMMON = frozenset("a an and any by can for from in into is it its of on or that the this to under was with without 0 1 2 3 4".split())
 SALTS = 8
 
 
@@ -58,11 +59,15 @@ def vectors(templates=None) -> tuple[list[dict[str, float]], dict[str, float], f
 
 
 def anchors(unit: list[dict[str, float]], threshold: float) -> list[str]:
-    """Terms of which a text must have one to reach the threshold against any template."""
+    """Terms of which a text must have one to reach the threshold against any template.
+
+    Any terms do whose absence leaves too short a vector; words that are common in all
+    prose are taken last.
+    """
     found = set()
     for v in unit:
         left = 1.0
-        for t, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+        for t, x in sorted(v.items(), key=lambda p: (p[0] in COMMON, -p[1], p[0])):
             if left < (threshold - 1e-9) ** 2:
                 break
             found.add(t)
