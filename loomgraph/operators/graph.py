@@ -145,7 +145,7 @@ def query_entities(entities: DataFrame, edges: DataFrame, term: str, max_edges:
     hit = find_entities(entities, term).select("id", "name")
     out = edges.join(hit, edges["source"] == hit["id"]).select("id", "name", F.lit("out").alias("direction"), F.col("target").alias("other"), "type", "seq")
     in_ = edges.join(hit, edges["target"] == hit["id"]).select("id", "name", F.lit("in").alias("direction"), F.col("source").alias("other"), "type", "seq")
-    w = Window.partitionBy("id", "direction").orderBy("seq")
+    w = Window.partitionBy("id", "direction").orderBy("seq", "other", "type")
     return out.unionByName(in_).withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_edges).select("id", "name", "direction", "other", "type", F.col("r").cast("long").alias("pos"))
 
 

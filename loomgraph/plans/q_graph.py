@@ -145,7 +145,7 @@ ORACLE_SQL = {
     "edge_dedupe": _D + " SELECT source, target, type, confidence, seq, n FROM simple",
     "entity_query": _F + """, hit AS (SELECT id, name FROM ent WHERE contains(lower(id), 'service') OR contains(lower(name), 'service')
       ), near AS (SELECT id, name, 'out' AS direction, target AS other, type, seq FROM edges JOIN hit ON source = id UNION ALL SELECT id, name, 'in', source, type, seq FROM edges JOIN hit ON target = id)
-      SELECT id, name, direction, other, type, pos FROM (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY seq) AS pos FROM near) WHERE pos <= 10""",
+      SELECT id, name, direction, other, type, pos FROM (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY seq, other, type) AS pos FROM near) WHERE pos <= 10""",
     "entity_context": _F + " SELECT id, type, name, file, (SELECT coalesce(string_agg(type || ':' || target, ',' ORDER BY type || ':' || target), '') FROM simple WHERE source = 'P12') AS outgoing, (SELECT coalesce(string_agg(type || ':' || source, ',' ORDER BY type || ':' || source), '') FROM simple WHERE target = 'P12') AS incoming FROM ent WHERE id = 'P12'",
     "file_clusters": _F + f", c AS (SELECT {_KEY.format('file')} AS name, count(*) AS size, string_agg(id, ',' ORDER BY id) AS members FROM ent WHERE type <> 'module' GROUP BY 1) SELECT * FROM (SELECT 'cluster_' || (row_number() OVER (ORDER BY name) - 1) AS id, name, size, members FROM c) WHERE size >= 2",
     "path_communities": _F + f" SELECT {_KEY.format('file')} AS community, count(*) AS size, min(id) AS first_id FROM ent GROUP BY 1 HAVING count(*) >= 2",
