@@ -35,11 +35,12 @@ def shared_lines(lines: Table, min_sites: int) -> DataFrame:
     return sure.unionByName(exact)
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 6, min_chars: int = 15) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 6, min_chars: int = 1) -> DataFrame:
     """doc_id, clean_text, n_lines, n_removed of every row.
 
     Lines are compared in lower case, with blanks collapsed and digit runs as 0; lines
-    without a word and normalised lines under min_chars characters stay. A line is removed,
+    without a word stay, as do normalised lines under min_chars characters where a caller
+    asks for more than the 1 that every line with a word has. A line is removed,
     every time, from every document if at least min_sites distinct sites have it; other
     lines keep their bytes and order. Null and empty texts have no lines; clean_text is
     then empty. A null site is a site of its own. Rows that agree in doc_id and text get

@@ -35,6 +35,17 @@ def test_brute_force(spark, monkeypatch, min_sites, lg_k):
     assert got == brute(rows, min_sites)
 
 
+def test_short_lines(spark):
+    """Shared lines are removed whatever their length; lines without a word and lines of fewer sites stay."""
+    rows = [(i, f"Read more\n\nx\n \nLog in {i}\nown line of document {'abcdefgh'[i]}\n" + ("rare" if i < 5 else "none"), f"s{i}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in remove_boilerplate(docs).collect()}
+    assert len(got) == 8
+    for i, r in got.items():
+        assert r.clean_text == f"\n \nown line of document {'abcdefgh'[i]}\n" + ("rare" if i < 5 else "none")
+        assert (r.n_lines, r.n_removed) == (7, 3)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert remove_boilerplate(docs).count() == 0 and judge(docs).count() == 0
