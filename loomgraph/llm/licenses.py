@@ -1,11 +1,14 @@
-"""License scan: TF-IDF cosine of lines and licence files to templates, and inheritance from the nearest ancestor directory.
+"""License scan: TF-IDF cosine of lines, sentences, word windows and licence files to templates, and inheritance from the nearest ancestor directory.
 
 The vectors are sparse: terms are runs of letters and digits in lower case, a term's
 weight is its count times its inverse frequency among the templates; a term of none has
 the weight of the rarest. By the prefix principle a text can only reach the threshold
 against a template if it has one of the template's anchors, terms without which what
-is left of the template is too short a vector. Texts and lines without any
-anchor are skipped, which loses nothing; the rest are scored by one aggregation.
+is left of the template is too short a vector; and the terms they share must make up
+enough of the template's vector. Texts, lines and sentences that can't reach it are
+skipped, which loses nothing; the rest are scored by one aggregation. Windows, which find
+statements that are wrapped or stand within longer lines, are scored within their rows,
+each against the template whose length it has.
 """
 
 from __future__ import annotations
@@ -13,8 +16,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import TERM, terms
@@ -41,6 +45,7 @@ TEMPLATES = [
 #: Names of licence files, in lower case, without extension.
 FILE_NAMES = ("license", "licence", "copying", "unlicense", "notice")
 THRESHOLD = 0.7
+SENTENCE_END = r"(?<=[.!?])[\x20\x09-\x0D]+"
 COMMON = frozenset("a an and any by can for from in into is it its of on or that the this to under was with without 0 1 2 3 4".split())
 SALTS = 8
 
@@ -75,6 +80,45 @@ def anchors(unit: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(found)
 
 
+def alike(ts: Column, unit: list[dict[str, float]], threshold: float) -> Column:
+    """Numbers of the templates that no part of an array of terms is too far from: the shared terms' part of the template's vector has at least the threshold's length."""
+    part = lambda h, v: reduce(lambda a, b: a + b, [F.when(F.array_contains(h, t), x * x).otherwise(0.0) for t, x in v.items()])
+    numbers = lambda h: F.array_compact(F.array(*[F.when(part(h, v) >= (threshold - 1e-9) ** 2, F.lit(j)) for j, v in enumerate(unit)]))
+    # a lambda's variable is computed once
+    return F.get(F.transform(F.array(F.array_intersect(ts, F.array(*[F.lit(t) for t in sorted({t for v in unit for t in v})]))), numbers), F.lit(0))
+
+
+def window_licenses(some: DataFrame, threshold: float) -> DataFrame:
+    """path, _th, b (score, license) of every run of a template's number of words, across lines, that reaches the threshold against it.
+
+    A run at the end of a text may be shorter. A run that matches has an anchor, so runs
+    are taken around anchors only, each with its first one.
+    """
+    unit, idf, rare = vectors()
+    need = F.array(*[F.lit(a) for a in anchors(unit, threshold)])
+    n = [len(re.findall(TERM, t.lower())) for _, t in TEMPLATES]
+    most = max(n)
+
+    def around(w, at):
+        def one(p, k):
+            first = F.greatest(F.coalesce(F.get(at, k - 1), F.lit(-1)) + 1, p - (most - 1))
+            return F.struct((p - first).alias("o"), F.slice(w, first + 1, p + most - first).alias("w"))
+
+        return F.transform(at, one)
+
+    places = lambda w: F.array_compact(F.transform(w, lambda t, i: F.when(F.array_contains(need, t), i)))
+    near = F.flatten(F.transform(F.array(terms(F.col("_t"))), lambda w: F.flatten(F.transform(F.array(places(w)), lambda at: around(w, at)))))
+    c = some.select("path", "_th", F.explode(near).alias("c")).select("path", "_th", "c.o", "c.w")
+    c = c.select("*", F.explode(alike(F.col("w"), unit, threshold)).alias("j"))
+    table = [(j, TEMPLATES[j][0], n[j], {t: x * idf[t] for t, x in v.items()}, idf) for j, v in enumerate(unit)]
+    c = c.join(F.broadcast(some.sparkSession.createDataFrame(table, "j int, license string, n int, v map<string,double>, idf map<string,double>")), "j")
+    u = c.select("path", "_th", "license", "v", "idf", F.explode(F.transform(F.sequence(F.greatest(F.lit(0), F.col("o") - F.col("n") + 1), F.col("o")), lambda s: F.slice("w", s + 1, F.col("n")))).alias("u"))
+    dot = F.aggregate("u", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at("v", t), F.lit(0.0)))
+    # a term that occurs k times is met k times
+    norm = F.aggregate("u", F.lit(0.0), lambda a, t: a + F.pow(F.coalesce(F.try_element_at("idf", t), F.lit(rare)), F.lit(2)) * F.size(F.filter("u", lambda x: x == t)))
+    return u.select("path", "_th", F.struct(F.round(dot / F.sqrt(norm), 9).alias("score"), "license").alias("b")).where(F.col("b.score") >= threshold)
+
+
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """path, _th, license, score (9 decimals) of files that state a license; files: path, _t (text), _th (its hash)."""
     unit, idf, rare = vectors()
@@ -82,9 +126,10 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = files.sparkSession
     # as many rows as the templates have terms
     vocabulary = F.broadcast(spark.createDataFrame([(t, idf[t], [v.get(t, 0.0) for v in unit]) for t in sorted(idf)], "term string, idf double, w array<double>"))
-    some = files.where(F.arrays_overlap(terms(F.col("_t")), need)).dropDuplicates(["path", "_th"])
+    some = files.where(F.size(alike(terms(F.col("_t")), unit, threshold)) > 0).dropDuplicates(["path", "_th"])
     base = F.lower(F.substring_index(F.substring_index("path", "/", -1), ".", 1))
-    units = F.when(base.isin(*FILE_NAMES), F.array_append(F.split("_t", "\n"), F.col("_t"))).otherwise(F.split("_t", "\n"))
+    parts = F.array_distinct(F.concat(F.split("_t", "\n"), F.split("_t", SENTENCE_END)))
+    units = F.when(base.isin(*FILE_NAMES), F.array_append(parts, F.col("_t"))).otherwise(parts)
     lines = some.select("path", "_th", F.posexplode(units).alias("i", "line"))
     words = lines.select("path", "_th", "i", terms(F.col("line")).alias("ts")).where(F.arrays_overlap("ts", need)).select("path", "_th", "i", F.explode_outer("ts").alias("term"))
     tf = words.groupBy("path", "_th", "i", "term").agg(F.count("*").alias("tf")).join(vocabulary, "term", "left")
@@ -92,15 +137,17 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sums = tf.groupBy("path", "_th", "i").agg(F.sqrt(F.sum(weight * weight)).alias("norm"), *[F.sum(F.coalesce(weight * F.col("w")[j], F.lit(0.0))).alias(f"d{j}") for j in range(len(unit))])
     cosines = F.array(*[F.struct(F.round(F.col(f"d{j}") / F.col("norm"), 9).alias("score"), F.lit(name).alias("license")) for j, (name, _) in enumerate(TEMPLATES)])
     best = sums.select("path", "_th", F.array_max(cosines).alias("b")).where(F.col("b.score") >= threshold)
+    best = best.unionByName(window_licenses(some, threshold))
     return best.groupBy("path", "_th").agg(F.max("b").alias("b")).select("path", "_th", "b.license", "b.score")
 
 
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """path, own_license, own_score, license, origin (own, inherited or none), licence_file of each row.
 
-    files: path (with /) and text; other columns are not read. A line, or the whole text of
-    a file with a licence file's name, whose cosine to a template reaches the threshold
-    states its license; the highest cosine wins, then the last name in order. A file
+    files: path (with /) and text; other columns are not read. A line, a sentence, a run of
+    as many words as a template has, or the whole text of a file with a licence file's
+    name, whose cosine to a template (the run's: to that one) reaches the threshold states
+    its license; sentences and runs go on over line ends; the highest cosine wins, then the last name in order. A file
     without a statement inherits from the licence file in its own directory or the nearest
     ancestor's that has a recognised one (several in one directory: highest cosine, then
     last license, then last path). Null and empty texts state nothing; a null path is in no

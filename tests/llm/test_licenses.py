@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -6,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomgraph.llm.decontaminate import TERM
-from loomgraph.llm.licenses import TEMPLATES, THRESHOLD, anchors, scan, vectors
+from loomgraph.llm.licenses import SENTENCE_END, TEMPLATES, THRESHOLD, anchors, scan, vectors
 
 UNIT, IDF, RARE = vectors()
 ANCHORS = set(anchors(UNIT, THRESHOLD))
@@ -61,3 +62,42 @@ def test_inheritance_and_odd_rows(spark):
             best = max((round(x, 9), n) for line in text.split("\n") for x, (n, _) in zip(cosines(line), TEMPLATES))
             assert (r.own_score, r.own_license) == best
     assert scan(files.limit(0)).count() == 0
+
+
+WITHIN = [
+    ("GPL-3.0", "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation */"),
+    ("Apache-2.0", "x\nCopyright 2024 Example Corp. Licensed under the Apache License, Version 2.0. See LICENSE for details."),
+    ("Proprietary", "// Copyright (c) 2024 Jane Doe. All rights reserved."),
+    ("MIT", "word " * 300 + "released under\nthe MIT License " + "word " * 300),
+    ("MIT", "released\nunder the\nMIT"),
+    (None, "the terms of the rights to use and modify the software, all of it, " * 20),
+    (None, "this is free and the public is granted a license by any person " * 5),
+]
+
+
+def brute(text):
+    w = re.findall(TERM, text.lower())
+    units = [(cosines(u), range(len(TEMPLATES))) for u in [*text.split("\n"), *re.split(SENTENCE_END, text)]]
+    for j, (_, t) in enumerate(TEMPLATES):
+        n = len(re.findall(TERM, t.lower()))
+        units += [(cosines(" ".join(w[s : s + n])), [j]) for s in range(len(w))]
+    score, name = max((round(c[j], 9), TEMPLATES[j][0]) for c, js in units for j in js)
+    return (name, score) if score >= THRESHOLD else (None, None)
+
+
+def test_statements_within_longer_text(spark):
+    r = random.Random(7)
+    words = sorted(IDF) + ["xx", "yy"]
+    rows = list(WITHIN)
+    for _ in range(120):
+        part = r.choice(TEMPLATES)[1].split()
+        part = [r.choice(words) if r.random() < 0.2 else x for x in part]
+        text = [r.choice(words) for _ in range(r.randint(0, 25))] + part + [r.choice(words) for _ in range(r.randint(0, 25))]
+        rows.append(("?", "".join(x + r.choice([" ", " ", " ", "\n", ". "]) for x in text)))
+    files = spark.createDataFrame([(f"d/{i}.py", t) for i, (_, t) in enumerate(rows)], "path string, text string")
+    got = {x.path: (x.own_license, x.own_score) for x in scan(files).collect()}
+    for i, (name, text) in enumerate(rows):
+        assert name in ("?", got[f"d/{i}.py"][0]), text
+        want, have = brute(text), got[f"d/{i}.py"]
+        # equal cosines may differ in their last bits
+        assert have == want or abs((have[1] or 0) - (want[1] or 0)) <= 2e-9, (text, have, want)
