@@ -84,27 +84,73 @@ def called_by(calls: DataFrame) -> DataFrame:
     return calls.groupBy(F.col("target").alias("id")).agg(F.countDistinct("source").alias("n_callers"), F.min("source").alias("first_caller"))
 
 
-def call_depth(calls: DataFrame, n: int = 10, least: int = 3, max_rounds: int = 200) -> DataFrame:
-    """Longest chain of calls from each qualified caller: the n deepest, then those of at least `least`.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """id, component: the nodes that lie on a cycle of two or more, with the smallest id of their strongly connected component. edges: source, target.
 
-    Chains grow backwards from the leaves, a round a hop: a node's depth is known once all
-    it calls is known. Nodes on or above a cycle are never complete; they get the depth
-    over their finished callees, so a cycle's back edge adds nothing.
+    A node's colour is the smallest id that reaches it; what reaches the colour's own node
+    back over edges of that colour is its component. The rest is coloured again.
     """
-    adj = materialize(calls.where("source <> target").select("source", "target").distinct(), "depth")
-    sources = adj.select(F.col("source").alias("id")).distinct()
-    done = materialize(adj.select(F.col("target").alias("id")).distinct().join(sources, "id", "left_anti").withColumn("depth", F.lit(0).cast("long")), "depth")
-    open_ = adj
-    for _ in range(max_rounds):
-        known = open_.join(done.withColumnsRenamed({"id": "target", "depth": "d"}), "target", "left").groupBy("source").agg(F.max("d").alias("d"), F.count_if(F.col("d").isNull()).alias("missing"))
-        new = materialize(known.where("missing = 0").select(F.col("source").alias("id"), (F.col("d") + 1).alias("depth")), "depth")
-        if new.isEmpty():
+    left = materialize(edges.select("source", "target").where("source <> target").distinct(), "scc")
+    found = None
+    while True:
+        # a node without callers or callees is on no cycle
+        left = materialize(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi"), "scc")
+        if left.isEmpty():
             break
+        now = materialize(left.select(F.col("source").alias("id")).unionByName(left.select(F.col("target").alias("id"))).distinct().withColumn("c", F.col("id")), "scc")
+        while True:
+            best = left.join(now.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("c").alias("m"))
+            nxt = materialize(now.join(best, "id", "left").select("id", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")), "scc")
+            now = nxt.drop("moved")
+            if nxt.where("moved").isEmpty():
+                break
+        inside = materialize(left.join(now.withColumnsRenamed({"id": "source", "c": "a"}), "source").join(now.withColumnsRenamed({"id": "target", "c": "b"}), "target").where("a = b").select("source", "target"), "scc")
+        back = reachable(inside.select(F.col("target").alias("source"), F.col("source").alias("target")), now.where("id = c").select("id"))
+        own = materialize(now.join(back.select("id"), "id", "left_semi").select("id", F.col("c").alias("component")), "scc")
+        found = own if found is None else found.unionByName(own)
+        left = inside.join(own.select(F.col("id").alias("source")), "source", "left_anti").join(own.select(F.col("id").alias("target")), "target", "left_anti")
+    if found is None:
+        return edges.select(F.col("source").alias("id"), F.col("source").alias("component")).limit(0)
+    big = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return materialize(found.join(big, "component", "left_semi").select("id", "component"), "scc")
+
+
+def _heights(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, depth of each node that no cycle is below; edges of the others). adj: distinct source, target.
+
+    Chains grow backwards from the leaves: what calls nothing but finished nodes is
+    finished a round, and a hop, after the last of them.
+    """
+    sources = adj.select(F.col("source").alias("id")).distinct()
+    new = materialize(adj.select(F.col("target").alias("id")).distinct().join(sources, "id", "left_anti").withColumn("depth", F.lit(0).cast("long")), "depth")
+    done, open_, depth = new, adj, 0
+    while not new.isEmpty():
+        depth += 1
+        met = open_.join(new.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id")).distinct()
+        open_ = materialize(open_.join(new.select(F.col("id").alias("target")), "target", "left_anti"), "depth")
+        new = materialize(met.join(open_.select(F.col("source").alias("id")).distinct(), "id", "left_anti").withColumn("depth", F.lit(depth).cast("long")), "depth")
         done = done.unionByName(new)
-        open_ = open_.join(new.select(F.col("id").alias("source")), "source", "left_anti")
-    loops = open_.join(done.withColumnsRenamed({"id": "target", "depth": "d"}), "target", "left").groupBy(F.col("source").alias("id")).agg((F.coalesce(F.max("d"), F.lit(-1)) + 1).alias("depth"))
-    all_ = done.unionByName(loops).where(F.col("id").contains("::"))
-    return all_.where("depth > 0").orderBy(F.desc("depth"), "id").limit(n).where(F.col("depth") >= least)
+        if depth % 8 == 0:  # keeps plans small on long chains
+            done = materialize(done, "depth")
+    return done, open_
+
+
+def call_depth(calls: DataFrame, n: int = 10, least: int = 3) -> DataFrame:
+    """Longest chain of calls from each qualified caller: the n deepest, then those of at least `least`.
+
+    Functions that call each other in a cycle are one node, so calls among them add
+    nothing and all have the depth below the cycle; callers above it go on from there.
+    """
+    adj = materialize(calls.where("source <> target").select("source", "target").distinct(), "depth")
+    all_, open_ = _heights(adj)
+    if not open_.isEmpty():
+        scc = strong_components(open_)
+        one = lambda c: scc.select(F.col("id").alias(c), F.col("component").alias(c + "_"))
+        whole = adj.join(one("source"), "source", "left").join(one("target"), "target", "left").select(F.coalesce("source_", "source").alias("source"), F.coalesce("target_", "target").alias("target"))
+        depths = _heights(materialize(whole.where("source <> target").distinct(), "depth"))[0]
+        members = scc.select("id", F.col("component").alias("node"))
+        all_ = depths.withColumnRenamed("id", "node").join(members, "node", "left").select(F.coalesce("id", "node").alias("id"), "depth")
+    return all_.where(F.col("id").contains("::")).where("depth > 0").orderBy(F.desc("depth"), "id").limit(n).where(F.col("depth") >= least)
 
 
 def resolve_callees(calls: DataFrame) -> DataFrame:

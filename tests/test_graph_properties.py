@@ -74,6 +74,19 @@ def test_depth_on_a_chain_with_a_loop(spark):
     assert got == {"a::1": 3, "a::2": 2, "a::3": 1}
 
 
+def test_depth_above_cycles(spark):
+    named = lambda pairs: spark.createDataFrame([(f"a::{x}", f"a::{y}") for x, y in pairs], "source string, target string")
+    depths = lambda pairs, n=1000: {r.id[3:]: r.depth for r in t.call_depth(named(pairs), n=n, least=0).collect()}
+    assert depths(["AB", "BC", "CD", "DC", "CE", "EF"]) == {"A": 4, "B": 3, "C": 2, "D": 2, "E": 1}
+    # two loops one above the other, and a caller of a loop that calls nothing else
+    assert depths(["AB", "BC", "CB", "CD", "DE", "ED", "EF", "XY", "YZ", "ZY"]) == {"A": 3, "B": 2, "C": 2, "D": 1, "E": 1, "X": 1}
+
+
+def test_depth_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(f"a::{i:03}", f"a::{i + 1:03}") for i in range(20)], "source string, target string")
+    assert [(r.id, r.depth) for r in t.call_depth(chain).collect()] == [(f"a::{i:03}", 20 - i) for i in range(10)]
+
+
 def test_checkout_journey(spark):
     ent = [("r", "route", "/checkout"), ("s", "class", "CheckoutScreen"), ("h", "function", "onPressed"), ("o", "function", "processOrder"), ("u", "function", "setState")]
     edges = [("r", "s"), ("s", "h"), ("h", "o"), ("o", "u")]
