@@ -1,12 +1,19 @@
+import io
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import AddedToken, Tokenizer
 
 from loomgraph.llm.q_tokens import op4_token_file, tokenizer_path
-from loomgraph.llm.token_file import EliasFano, SegmentCoder, encode_texts, load_tokenizer, token_table
+from loomgraph.llm.token_file import EliasFano, SegmentCoder, encode_texts, load_tokenizer, read_tokens, token_table, write_tokens
+from loomgraph.llm.common import Table, scratch_path
+
+
+def mixed(parts, n):
+    return st.lists(st.sampled_from(parts), max_size=n).map("".join)
 
 
 @settings(max_examples=60, deadline=None)
@@ -14,8 +21,11 @@ from loomgraph.llm.token_file import EliasFano, SegmentCoder, encode_texts, load
 def test_elias_fano_round_trip(values):
     v = np.sort(np.array(values, np.int64))
     ef = EliasFano.of(v)
-    assert ef.all().tolist() == v.tolist()
-    assert all(ef[i] == v[i] for i in range(0, len(v), 7))
+    ef = EliasFano.load(io.BytesIO(ef.dump()))
+    assert all(ef[i] == v[i] for i in range(len(v)))
+    for at in range(0, len(v), 97):
+        n = min(300, len(v) - at)
+        assert ef.run(at, n).tolist() == v[at : at + n].tolist()
 
 
 def test_elias_fano_is_small():
@@ -23,12 +33,13 @@ def test_elias_fano_is_small():
     assert len(EliasFano.of(v).dump()) * 8 / len(v) < 2.5 + np.log2(v[-1] / len(v)) + 1
 
 
-TOKENIZER = load_tokenizer(tokenizer_path())
+#: the library's own, with nothing set
+TOKENIZER = Tokenizer.from_file(tokenizer_path())
 CODER = SegmentCoder(TOKENIZER, keep=40)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from(list("ab'sé 1\n\t\r\x0b\x85\xa0  .<|>")), max_size=40)), max_size=6), st.integers(1, 60))
+@given(st.lists(st.one_of(st.none(), mixed([*"ab'sé 1\n\t\r\x0b\x85\xa0  .<|>", "<|endoftext|>"], 40)), max_size=6), st.integers(1, 60))
 def test_segments_equal_whole_encoding(texts, slice_bytes):
     got = []
     for ids, n in encode_texts(CODER, pa.array(texts, pa.string()), slice_bytes):
@@ -57,3 +68,30 @@ def test_odd_rows(spark):
     assert sorted((r[0] or 0, r[2], r[3]) for r in got) == sorted((r[0] or 0, r[2], r[3]) for r in brute([r[:2] for r in rows]))
     assert got[-1][1] + got[-1][2] == sum(r[2] for r in got)
     assert token_table(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_added_tokens_in_a_text(spark):
+    t = load_tokenizer(tokenizer_path())
+    assert t.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
+    docs = spark.createDataFrame([(1, "<|endoftext|>"), (2, "a.<|endoftext|>,b <|endoftext|>  c")], "doc_id long, text string")
+    assert sorted(map(tuple, token_table(docs, tokenizer_path()).collect())) == brute([(1, "<|endoftext|>"), (2, "a.<|endoftext|>,b <|endoftext|>  c")])
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(mixed(["a", " ", ".", "<x. y>", "<w>", "<s>"], 20), max_size=4))
+def test_added_tokens_that_cuts_could_change(texts):
+    t = Tokenizer.from_file(tokenizer_path())
+    t.add_tokens([AddedToken("<x. y>"), AddedToken("<w>", single_word=True), AddedToken("<s>", lstrip=True, rstrip=True)])
+    got = []
+    for ids, n in encode_texts(SegmentCoder(t), pa.array(texts, pa.string())):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if len(n) else []
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_many_files_a_part(spark, sf_dir):
+    """More files than parts, and more parts than partitions: the order is still that of doc_ids."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    m = Table(write_tokens(docs, scratch_path(spark, "t"), tokenizer_path(), 2, partition_bytes=50_000, shard_bytes=3000), "manifest").df
+    assert m.groupBy("part").count().count() > 4 and m.count() > m.select("part").distinct().count()
+    assert sorted(map(tuple, read_tokens(m).collect())) == brute(rows)
