@@ -23,7 +23,7 @@ WITH d AS (
 ), n AS (
   SELECT r, i, l, trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]', ' ', 'g'), '[0-9]+', '0', 'g')) AS k FROM u
 ), bad AS (
-  SELECT k FROM n JOIN d USING (r) WHERE length(k) >= 15 GROUP BY k HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 6
+  SELECT k FROM n JOIN d USING (r) WHERE k <> '' GROUP BY k HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 6
 ), o AS (
   SELECT r, count(*) AS n_lines, count(bad.k) AS n_removed, coalesce(string_agg(CASE WHEN bad.k IS NULL THEN l END, chr(10) ORDER BY i), '') AS c
   FROM n LEFT JOIN bad USING (k) GROUP BY r

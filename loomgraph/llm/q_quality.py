@@ -35,12 +35,12 @@ WITH d AS (
 ), norm AS (
   SELECT DISTINCT r, trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]', ' ', 'g'), '[0-9]+', '0', 'g')) AS l FROM raw_lines
 ), line AS (
-  SELECT r, source, l, length(l) - length(replace(l, ' ', '')) + 1 AS w FROM norm JOIN d USING (r) WHERE l <> ''
+  SELECT r, d.source, l, length(l) - length(replace(l, ' ', '')) + 1 AS w FROM norm JOIN d USING (r) WHERE l <> ''
 ), hosts AS (
-  SELECT source, count(*) AS n FROM d GROUP BY source
+  SELECT source, count(*) AS n FROM (SELECT DISTINCT source, doc_id, t FROM d) GROUP BY source
 ), often AS (
-  SELECT line.source, l FROM line JOIN hosts ON line.source IS NOT DISTINCT FROM hosts.source
-  GROUP BY line.source, l HAVING count(*) > 50 AND count(*) > 0.01 * max(hosts.n)
+  SELECT source, l FROM (SELECT DISTINCT line.source, l, doc_id, t, hosts.n FROM line JOIN d USING (r) JOIN hosts ON line.source IS NOT DISTINCT FROM hosts.source)
+  GROUP BY source, l HAVING count(*) > 50 AND count(*) > 0.01 * max(n)
 ), sums AS (
   SELECT r, sum(w) AS line_words, sum(CASE WHEN often.l IS NULL THEN 0 ELSE w END) AS removed_words
   FROM line LEFT JOIN often ON line.l = often.l AND line.source IS NOT DISTINCT FROM often.source GROUP BY r

@@ -50,38 +50,48 @@ def text_counts(docs: DataFrame, text: str, window: int = 5) -> DataFrame:
     )
 
 
+def _salted(keys: DataFrame) -> DataFrame:
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def judge(docs: DataFrame, host: str = "source", min_line_docs: int = 50, line_share: float = 0.01, min_left_share: float = 0.5, min_left_words: int = 5) -> DataFrame:
     """Per document its counts, base_failed, line_words, removed_words and kept.
 
     Lines are normalised and hashed with their host; a line found in more than
-    max(min_line_docs, line_share * the host's documents) documents of one host is
+    max(min_line_docs, line_share * the host's documents) distinct documents of one host is
     boilerplate. A document is depleted, and not kept, if of the words of its different
     lines under min_left_words or under min_left_share are left without boilerplate.
 
-    docs: needs doc_id, text and the host column. Each row counts as a document. A null
-    text is empty: it has no words, so its base rules fail; a null host is a host of its
-    own. Rows that agree in doc_id and text get one joint verdict on their lines. Whole
-    texts are read once; what is shuffled is two numbers a line. A line's rows are counted
-    before the shuffle and spread over SALTS keys for the join, so a line that a third
-    of all documents hold is no hot key. An empty table gives no rows.
+    docs: needs doc_id, text and the host column. Rows that agree in doc_id, text and host
+    are one document: they count once and get one verdict each; under another host the
+    same text is judged by that host's lines. A null text is empty: it has no words, so
+    its base rules fail; a null host is a host of its own, and a null doc_id an id like
+    any other. Whole texts are read once; what is shuffled is two numbers a line. A line's
+    documents are counted before the shuffle and spread over SALTS keys for the join, so a
+    line that a third of all documents hold is no hot key. An empty table gives no rows.
     """
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").alias("doc_id"), t.alias("_t"), F.xxhash64(F.col(host).cast("string")).alias("_hh"))
     lines = line_texts(F.col("_t"))
     own = own.withColumn("_norm", F.array_distinct(lines))
-    key = F.transform("_norm", lambda s: F.struct(F.xxhash64(F.col("_hh"), s).alias("k"), (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1).alias("w")))
+    n_terms = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1
+    key = F.transform("_norm", lambda s: F.struct(F.xxhash64(F.col("_hh"), s).alias("k"), n_terms(s).alias("w")))
     own = own.select("doc_id", "_hh", F.xxhash64("_t").alias("_th"), key.alias("_keys"), "_t")
     table = Table(text_counts(own, "_t").drop("_t"), "line-rules")
-    line = table.df.select("doc_id", "_th", "_hh", F.explode("_keys").alias("_l")).select("doc_id", "_th", "_hh", "_l.k", "_l.w")
-    hosts = table.df.groupBy("_hh").agg(F.count("*").alias("n_host"))
-    often = line.groupBy("k").agg(F.count("*").alias("n"), F.min("_hh").alias("_hh")).where(F.col("n") > min_line_docs)
-    often = often.join(hosts, "_hh").where(F.col("n") > line_share * F.col("n_host")).select("k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    lost = line.withColumn("salt", F.pmod(F.col("_th"), F.lit(SALTS)).cast("int")).join(often, ["k", "salt"]).groupBy("doc_id", "_th").agg(F.sum("w").alias("r"), F.count("*").alias("m")).withColumnRenamed("doc_id", "_d").withColumnRenamed("_th", "_h")
-    d = table.df.withColumn("line_words", F.aggregate("_keys", F.lit(0).cast("long"), lambda a, x: a + x["w"])).drop("_keys", "_hh")
-    # repeated rows: r counts the lines of all of them
-    same = d.groupBy("doc_id", "_th").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("doc_id", "_d").withColumnRenamed("_th", "_h")
-    lost = lost.join(same, lost["_d"].eqNullSafe(same["_d"]) & (lost["_h"] == same["_h"]), "left").select(lost["_d"], lost["_h"], (F.col("r") / F.coalesce("c", F.lit(1))).cast("long").alias("r"))
+    same = ["doc_id", "_th", "_hh"]
+    hosts = table.df.select(*same).distinct().groupBy("_hh").agg(F.count("*").alias("n_host"))
+    line = table.df.select(*same, F.explode("_keys").alias("_l")).select(*same, "_l.k", "_l.w")
+    found = line.groupBy("k").agg(F.count("*").alias("n"), F.min("_hh").alias("_hh")).where(F.col("n") > min_line_docs)
+    found = found.join(hosts, "_hh").where(F.col("n") > line_share * F.col("n_host"))
+    # rows are at least as many as documents: of the lines that rows make frequent, documents are counted
+    often = Table(_salted(found.select("k", "n_host")), "often")
+    hits = Table(line.withColumn("salt", F.pmod(F.col("_th"), F.lit(SALTS)).cast("int")).join(often.df, ["k", "salt"]).groupBy(*same, "k", "n_host").agg(F.max("w").alias("w")), "hits")
+    sure = hits.df.groupBy("k").agg(F.count("*").alias("n"), F.max("n_host").alias("n_host"))
+    sure = sure.where((F.col("n") > min_line_docs) & (F.col("n") > line_share * F.col("n_host"))).select("k")
+    bad = hits.df.withColumn("salt", F.pmod(F.col("_th"), F.lit(SALTS)).cast("int")).join(_salted(sure), ["k", "salt"])
+    lost = bad.groupBy(*same).agg(F.sum("w").alias("r")).withColumnsRenamed({"doc_id": "_d", "_th": "_h", "_hh": "_g"})
+    d = table.df.withColumn("line_words", F.aggregate("_keys", F.lit(0).cast("long"), lambda a, x: a + x["w"])).drop("_keys")
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("line_words") - F.col("removed_words")
-    d = d.join(lost, d["doc_id"].eqNullSafe(lost["_d"]) & (d["_th"] == lost["_h"]), "left").withColumn("removed_words", F.coalesce("r", F.lit(0)).cast("long"))
+    d = d.join(lost, d["doc_id"].eqNullSafe(lost["_d"]) & (d["_th"] == lost["_h"]) & (d["_hh"] == lost["_g"]), "left").withColumn("removed_words", F.coalesce("r", F.lit(0)).cast("long"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "line_words", "removed_words", (~base_failed & (left >= min_left_words) & (left >= min_left_share * F.col("line_words"))).alias("kept"))

@@ -20,7 +20,7 @@ def brute(rows, min_sites):
     out = []
     for d, t, _ in rows:
         raw = t.split("\n") if t else []
-        keep = [l for l in raw if len(" ".join(l.split())) < 15 or len(sites[" ".join(l.lower().split())]) < min_sites]
+        keep = [l for l in raw if not l.split() or len(sites[" ".join(l.lower().split())]) < min_sites]
         out.append((d, "\n".join(keep), len(raw), len(raw) - len(keep)))
     return sorted(out, key=str)
 
@@ -64,3 +64,14 @@ def test_line_rules_on_odd_rows(spark):
     assert by[3].n_dup_lines == 1 and by[3].removed_words == 10
     assert by[31].n_repeat_words == 10 and by[31].n_symbols == 2 and by[31].base_failed and by[31].word_chars == 12
     assert by[None].base_failed and by[30].base_failed and by[30].n_words == 0
+
+
+def test_hosts_and_repeated_rows(spark):
+    """One text under two hosts is judged by each host's lines; a document counts once, however many rows it has."""
+    menu, own = "menu one two three four five six seven eight nine", "a line that one document says over and over again here"
+    rows = [(i, f"own words of page {'q ' * i} and more\n{menu}", "a") for i in range(1, 9)] + [(50, menu, "a"), (50, menu, "b")] + [(60, own, "b")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = judge(docs.withColumn("_hh", docs.doc_id), min_line_docs=4, line_share=0.1).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.removed_words, r.kept) for r in got if r.doc_id == 50) == [(0, True), (10, False)]
+    assert all(r.removed_words == 0 and r.kept for r in got if r.doc_id == 60)

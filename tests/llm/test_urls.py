@@ -1,7 +1,10 @@
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from loomgraph.llm.q_urls import RULES, op3_host_reputation
-from loomgraph.llm.url_filter import filter_urls, reputation
+from loomgraph.llm.url_filter import beta_cdf, domain_of, filter_urls, reputation, suffix_of
 
 URLS = [
     (1, "https://A.Example.ORG/es/9?x", 1), (2, "http://example.org", 2), (3, "x://com/de/", None), (4, "nocolon/a", 3), (5, None, 4), (6, "", 5),
@@ -37,8 +40,8 @@ def test_rules_and_reputation(spark):
 def test_shrinkage(spark):
     pages, out = frames(spark)
     rep = {r.host: r for r in reputation(pages, out).collect()}
-    assert rep["bad.net"].n == 40 and rep["bad.net"].x == 40 and rep["bad.net"].bound > 0.8
-    assert 0 < rep["ok1.net"].mean < 0.3 and rep["ok1.net"].bound < rep["ok1.net"].mean
+    assert rep["bad.net"].n == 40 and rep["bad.net"].x == 40 and rep["bad.net"].sure > 0.999
+    assert 0 < rep["ok1.net"].mean < 0.3 and rep["ok1.net"].sure < 0.1
     assert rep["b.com"].n == 0 and 0 < rep["b.com"].mean < 1
 
 
@@ -47,3 +50,28 @@ def test_empty(spark, sf_dir):
     assert filter_urls(pages.limit(0), out, RULES).count() == 0
     assert filter_urls(pages, out.limit(0), []).where("rule IS NULL").count() == len(URLS) + 100
     assert op3_host_reputation(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+
+
+def test_beta_posterior(spark):
+    """Against numerical integration."""
+    ab = [(a, b) for a in (0.05, 0.7, 3.0, 40.0, 900.0) for b in (0.04, 1.5, 20.0, 2100.0)]
+    got = spark.createDataFrame(ab, "a double, b double").select("a", "b", beta_cdf(0.3, F.col("a"), F.col("b")).alias("p")).collect()
+    for r in got:
+        # x = sin(t) ** 2 takes the ends' poles away down to a power near -1
+        t = np.linspace(0, np.pi / 2, 2_000_002)[1:-1]
+        t = np.pi / 2 * (t / (np.pi / 2)) ** 12 if r.a < 0.5 else t
+        x = np.sin(t) ** 2
+        log = (r.a - 0.5) * np.log(x) + (r.b - 0.5) * np.log(np.cos(t) ** 2)
+        y = np.exp(log - log.max())
+        step = np.diff(t) * (y[1:] + y[:-1]) / 2
+        if r.b >= 0.5:
+            assert abs(r.p - step[x[1:] <= 0.3].sum() / step.sum()) < 2e-3, r
+
+
+def test_suffixes(spark):
+    hosts = {"x.b.co.uk": ("b.co.uk", "co.uk"), "a.com.cn": ("a.com.cn", "com.cn"), "z.gov.uk": ("z.gov.uk", "gov.uk"), "w.u.github.io": ("u.github.io", "github.io"), "q.w.net": ("w.net", "net"),
+             "co.uk": ("co.uk", "co.uk"), "com": ("com", "com"), "": ("", ""), "a.b.blogspot.co.uk": ("b.blogspot.co.uk", "blogspot.co.uk")}
+    d = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", domain_of(F.col("h")), suffix_of(F.col("h")))
+    assert {r[0]: (r[1], r[2]) for r in d.collect()} == hosts
+    one = spark.createDataFrame([("a.b.c.d",)], "h string").select(domain_of(F.col("h"), ["c.d"]), suffix_of(F.col("h"), ["b.c.d"])).first()
+    assert tuple(one) == ("b.c.d", "b.c.d")
