@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -31,9 +32,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors reach: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """Folder that all executors reach: spark.checkpoint.dir. Where it is unset, a local session gets one of our own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
         _remember(spark, found)
@@ -87,6 +90,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: A side of so many bigint ids is broadcast: some 100 MB as a hash table.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs' rows whose key is none of the ids (one bigint column; null is an id like any other), with all their columns.
+
+    The ids are written and counted; up to BROADCAST_IDS they go to the rows, so that no
+    text is shuffled. More are joined by their hash.
+    """
+    name = ids.columns[0]
+    gone = Table(ids.select(F.col(name).alias("_gone")).distinct(), "gone").df
+    some = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(some, docs[key].eqNullSafe(some["_gone"]), "left_anti")
+
+
 def kth_largest(table: Callable[[], DataFrame], col: str, k: int) -> int:
     """The k-th largest value of a bigint column, by radix selection: four passes that each bring at most 65,536 counts to the driver.
 

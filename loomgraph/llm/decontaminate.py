@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table
+from .common import Table, without_ids
 
 TERM = r"[^\x00-/:-@\[-`{-\x7F]+"
 SHINGLE = 4
@@ -100,5 +100,4 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.5, shingle
 
 def clean(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
     """docs' rows without those whose doc_id has a contained item."""
-    bad = contained(docs, items, **params).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return without_ids(docs, contained(docs, items, **params).select("doc_id"))

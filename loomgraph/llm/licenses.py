@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Table
 from .decontaminate import TERM, terms
 
 TEMPLATES = [
@@ -126,7 +127,8 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = files.sparkSession
     # as many rows as the templates have terms
     vocabulary = F.broadcast(spark.createDataFrame([(t, idf[t], [v.get(t, 0.0) for v in unit]) for t in sorted(idf)], "term string, idf double, w array<double>"))
-    some = files.where(F.size(alike(terms(F.col("_t")), unit, threshold)) > 0).dropDuplicates(["path", "_th"])
+    # read twice; repeated rows only scale a unit's counts, which no cosine sees
+    some = Table(files.where(F.size(alike(terms(F.col("_t")), unit, threshold)) > 0), "license-texts").df
     base = F.lower(F.substring_index(F.substring_index("path", "/", -1), ".", 1))
     parts = F.array_distinct(F.concat(F.split("_t", "\n"), F.split("_t", SENTENCE_END)))
     units = F.when(base.isin(*FILE_NAMES), F.array_append(parts, F.col("_t"))).otherwise(parts)
@@ -156,7 +158,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     SALTS keys, so that neither the root nor a large directory is a hot key.
     """
     f = files.select(F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")).withColumn("_th", F.xxhash64("_t"))
-    own = own_licenses(f, threshold).withColumnsRenamed({"path": "_p", "_th": "_h", "license": "own_license", "score": "own_score"})
+    own = Table(own_licenses(f, threshold), "own-licenses").df.withColumnsRenamed({"path": "_p", "_th": "_h", "license": "own_license", "score": "own_score"})
     k = f.select("path", "_th")
     k = k.join(own, k["path"].eqNullSafe(own["_p"]) & (k["_th"] == own["_h"]), "left").drop("_p", "_h")
     # the directory of "a/b/c" is "a/b", of "c" it is ""; as segments from the root

@@ -130,16 +130,20 @@ def mixing_plan(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, ca
     return copies, found.select("sid", "source", "source_size", "target", "lam")
 
 
-def mixed(docs: DataFrame, columns: list[str], **params) -> DataFrame:
-    """columns of docs with doc_id, size, source_size, target, rate, copies as op_-prefixed columns."""
+def mixed(docs: DataFrame, **params) -> DataFrame:
+    """row (a struct of docs' columns), doc_id, size, source_size, target, rate, copies of every row of docs.
+
+    The caller's columns stay inside the struct, so that none can clash with another.
+    """
     copies, found = mixing_plan(docs, **params)
-    d = docs.select(*columns, F.col("doc_id").cast("long").alias("op_id"), n_words(F.col("text")).alias("op_size"), F.col("source").cast("string").alias("op_source"))
-    per_doc = copies.join(found, "sid").select(*[F.col(c).alias("op_" + c if c.startswith(("source_", "target", "rate", "copies")) else "k_" + c) for c in ["doc_id", "source", "size", "source_size", "target", "rate", "copies"]])
-    same = d["op_id"].eqNullSafe(per_doc["k_doc_id"]) & d["op_source"].eqNullSafe(per_doc["k_source"]) & (d["op_size"] == per_doc["k_size"])
-    return d.join(per_doc, same).drop("k_doc_id", "k_source", "k_size", "op_source", "op_id")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"))
+    own = copies.join(found, "sid").select(F.col("doc_id").alias("k_doc_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), "source_size", "target", "rate", "copies")
+    same = d["doc_id"].eqNullSafe(own["k_doc_id"]) & d["source"].eqNullSafe(own["k_source"]) & (d["size"] == own["k_size"])
+    return d.join(own, same).select("row", "doc_id", "size", "source_size", "target", "rate", "copies")
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus: docs' rows, each repeated by its number of copies."""
-    m = mixed(docs, docs.columns, **params)
-    return m.where("op_copies > 0").withColumn("op_k", F.explode(F.sequence(F.lit(1), F.col("op_copies")))).select(*docs.columns)
+    m = mixed(docs, **params).where("copies > 0")
+    return m.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("k")).select("row.*")

@@ -6,7 +6,8 @@ an odd sketch, a bitmap in which each sample (position, value) flips one bit. Th
 two sketches counts the samples in which they differ: with p of N bits set, the
 symmetric difference is about -N/2 ln(1 - 2p/N), which is most precise where similarity
 is high. A pair of a band is confirmed on the full sets only if that estimate leaves it
-a chance; the margin is beyond five standard deviations of estimate and sampling.
+a chance of twice the linking distance: the margin is five standard deviations of
+estimate and sampling together (0.048 at a similarity of 0.6).
 
 No band's members are paired with each other. In each round the members of a band are
 compared with a few leaders; those that link to a leader leave. The Jaccard distance is
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Table
+from .common import Table, without_ids
 from .components import components
 from .shingles import mix, pair_hashes, pair_sets, slices, word_hashes
 
@@ -36,7 +37,12 @@ _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, K, dtype=np.uint64)
 _I = np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-CHUNK = 64
+#: Of a group that is verified in one task: members, and shingles of all of them.
+CHUNK, CHUNK_SHINGLES = 64, 2_000_000
+MARGIN = 5 * 0.048
+SALTS = 8
+#: Classes of so many rows and more are joined by broadcast; there are at most rows / HOT_ROWS of them.
+HOT_ROWS = 10_000
 #: Leaders of a band in a round: 1, 8, 64 and then so many.
 MAX_LEADERS = 256
 BROADCAST_ROWS = 200_000
@@ -76,8 +82,10 @@ def _features(batches):
             band = mix(band + _I[:BANDS])
             sketch = odd_sketches(mins)
             m = len(texts)
-            arr = lambda a, w: pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * w), pa.array(np.ascontiguousarray(a).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([keys.slice(at, m), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), arr(band, BANDS), arr(sketch, BITS // 64)], ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
+            lists = lambda a, w: pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * w), pa.array(np.ascontiguousarray(a).view(np.int64).ravel()))
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            columns = [keys.slice(at, m), pa.array(n, pa.int64()), longs(s1), longs(s2), lists(band, BANDS), lists(sketch, BITS // 64)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
 
 
 def _verify(group: pa.Table) -> pa.Table:
@@ -101,40 +109,51 @@ def _verify(group: pa.Table) -> pa.Table:
     return pa.table({"l": pa.array([l] * len(best), pa.int64()), "c": pa.array(list(best), pa.int64()), "inter": pa.array([v[0] for v in best.values()], pa.int64()), "uni": pa.array([v[1] for v in best.values()], pa.int64())})
 
 
+def _salted(d: DataFrame) -> DataFrame:
+    return d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 class _Job:
     def __init__(self, docs: DataFrame, percent: int):
         self.percent = percent
         keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.features = Table(keyed.mapInArrow(_features, FEATURES), "features")
-        f = self.features.df.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        self.classes = Table(f.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-        rep = f.join(self.classes.df, ["s1", "s2"]).where("doc_id = rep").select("rep", "bands", "sketch").dropDuplicates(["rep", "bands"])
-        band = rep.select(F.col("rep").alias("c"), F.explode("bands").alias("key"))
+        features = Table(keyed.mapInArrow(_features, FEATURES), "features")
+        f = features.df.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        # summed up before the shuffle, so that copies without end are a row a task
+        one = F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("x")
+        self.classes = Table(f.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), one).select("s1", "s2", "rep", "n_rows", "x.*"), "classes")
+        self.keys = Table(features.df.select("doc_id", "n_shingles", "s1", "s2"), "keys")
+        features.drop()
+        rep = self.classes.df.select(F.col("rep").alias("c"), "n_shingles", "bands", "sketch")
+        band = rep.select("c", F.explode("bands").alias("key"))
         many = band.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("z")).where("l < z").drop("z")
         self.first = Table(band.join(many, "key").distinct(), "bands")
         self.nodes = Table(self.first.df.select("c").distinct(), "nodes")
         near = self.nodes.df
-        if self.nodes.df.count() <= BROADCAST_ROWS:
+        if near.count() <= BROADCAST_ROWS:
             near = F.broadcast(near)
         self.texts = Table(keyed.join(near, F.col("doc_id") == F.col("c")).select("c", "text"), "texts")
-        self.sketches = Table(rep.join(near, F.col("rep") == F.col("c"), "left_semi").select(F.col("rep").alias("c"), "sketch"), "sketches")
+        self.sketches = Table(rep.join(near, "c", "left_semi").select("c", "n_shingles", "sketch"), "sketches")
 
     def estimate(self, pairs: DataFrame) -> DataFrame:
-        """pairs (l, c) whose sketches leave a similarity of at least that of twice the linking distance."""
+        """l, c, n (shingles of c) of the pairs (l, c) whose sketches leave a similarity of at least that of twice the linking distance."""
         a = self.sketches.df.select(F.col("c").alias("l"), F.col("sketch").alias("sl"))
-        b = self.sketches.df.select("c", F.col("sketch").alias("sc"))
+        b = self.sketches.df.select("c", "n_shingles", F.col("sketch").alias("sc"))
         p = F.aggregate(F.zip_with("sl", "sc", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         differ = -BITS / 2 * F.ln(F.greatest(F.lit(1e-3), 1 - 2 * p / F.lit(float(BITS))))
         j = 1 - differ / (2 * K)
-        floor = 1 - 2 * (1 - self.percent / 100) - 0.15
-        return pairs.join(a, "l").join(b, "c").where(j >= floor).select("l", "c").distinct()
+        floor = 1 - 2 * (1 - self.percent / 100) - MARGIN
+        return pairs.join(a, "l").join(b, "c").where(j >= floor).groupBy("l", "c").agg(F.max("n_shingles").alias("n"))
 
     def verify(self, pairs: DataFrame) -> Table:
+        """l, c, inter, uni of the pairs that the sketches leave, in groups of a leader and a bounded part of its members."""
         p = Table(self.estimate(pairs), "pairs")
-        parts = p.df.groupBy("l").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+        size = F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)
+        parts = p.df.groupBy("l").agg(F.ceil(size).alias("parts"))
         p2 = p.df.join(parts, "l").select("l", "c", F.pmod(F.xxhash64("c"), "parts").alias("part"))
         members = p2.join(self.texts.df, "c").select("l", "part", "c", F.lit(False).alias("lead"), "text")
-        heads = p2.select("l", "part").distinct().join(self.texts.df.withColumnRenamed("c", "l"), "l").select("l", "part", F.col("l").alias("c"), F.lit(True).alias("lead"), "text")
+        lead = self.texts.df.withColumnRenamed("c", "l")
+        heads = p2.select("l", "part").distinct().join(lead, "l").select("l", "part", F.col("l").alias("c"), F.lit(True).alias("lead"), "text")
         return Table(members.unionByName(heads).groupBy("l", "part").applyInArrow(_verify, "l long, c long, inter long, uni long"), "verified")
 
     def linked(self, d: DataFrame) -> DataFrame:
@@ -162,15 +181,22 @@ class _Job:
                 leaders = min(leaders * 8, MAX_LEADERS)
                 rank = F.row_number().over(Window.partitionBy("key").orderBy("c"))
                 head = Table(active.df.withColumn("r", rank).where(F.col("r") <= leaders).select("key", F.col("c").alias("l")), "leaders")
-                rows = active.df.join(head.df, "key").where("l < c")
+                salt = F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")
+                rows = active.df.withColumn("salt", salt).join(_salted(head.df), ["key", "salt"]).where("l < c").drop("salt")
         tested = Table(tested.df.where(100 * F.col("inter") >= twice * F.col("uni")), "near-tested")
         ok = self.linked(tested.df)
         cc = components(ok.select(F.col("c").alias("u"), F.col("l").alias("v")))
-        label = cc.df.select(F.col("u").alias("c"), F.col("v").alias("lab"))
+        label = cc.df.select(F.col("u").alias("m"), F.col("v").alias("lab"))
         dist = 1 - F.col("inter") / F.col("uni")
-        near = ok.select("l", F.col("c").alias("x"), dist.alias("dx")).join(label.withColumnRenamed("c", "x"), "x", "left").withColumn("lx", F.coalesce("lab", "x")).drop("lab")
-        gray = tested.df.where(100 * F.col("inter") < self.percent * F.col("uni")).select("l", F.col("c").alias("y"), dist.alias("dy")).join(label.withColumnRenamed("c", "y"), "y", "left").withColumn("ly", F.coalesce("lab", "y")).drop("lab")
-        open_ = gray.join(near, "l").where((F.col("lx") != F.col("ly")) & (F.col("dx") >= F.col("dy") - (1 - self.percent / 100) - 1e-9))
+
+        def labelled(d: DataFrame, name: str) -> DataFrame:
+            d = d.select("l", F.col("c").alias(name), dist.alias("d" + name))
+            return d.join(label, d[name] == label["m"], "left").select("l", name, "d" + name, F.coalesce("lab", name).alias("l" + name))
+
+        near = labelled(ok, "x")
+        gray = labelled(tested.df.where(100 * F.col("inter") < self.percent * F.col("uni")), "y")
+        reach = 1 - self.percent / 100 + 1e-9
+        open_ = gray.join(near, "l").where((F.col("lx") != F.col("ly")) & (F.col("dx") >= F.col("dy") - reach))
         pairs = open_.select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("c")).distinct().join(tested.df, ["l", "c"], "left_anti")
         late = self.verify(pairs)
         more = self.linked(late.df)
@@ -190,14 +216,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     job = _Job(docs, percent)
     cc = job.links().df.select(F.col("u").alias("rep"), F.col("v").alias("lab"))
-    c = job.classes.df.join(cc, "rep", "left").select("s1", "s2", F.coalesce("lab", "rep").alias("component_id"))
-    f = job.features.df.select("doc_id", "n_shingles", "s1", "s2")
-    empty = F.col("n_shingles") == 0
-    d = f.join(c, ["s1", "s2"], "left").withColumn("component_id", F.when(empty | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    label = job.classes.df.join(cc, "rep", "left").select("s1", "s2", "n_rows", F.coalesce("lab", "rep").alias("component_id"))
+    label = Table(label, "labels").df
+    rows = job.keys.df
+    # a class that holds a large part of the rows is no hot key of a shuffle
+    least = max(HOT_ROWS, -(-rows.count() // BROADCAST_ROWS))
+    hot = F.broadcast(label.where(F.col("n_rows") >= least).drop("n_rows"))
+    large = rows.join(hot, ["s1", "s2"])
+    small = rows.join(hot, ["s1", "s2"], "left_anti").join(label.where(F.col("n_rows") < least).drop("n_rows"), ["s1", "s2"], "left")
+    d = large.unionByName(small)
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    d = d.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
     return d.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs' rows without those that are not their component's smallest doc_id."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs' rows without those that are not their component's smallest doc_id; rows with a null doc_id stay."""
+    return without_ids(docs, near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id"))

@@ -11,5 +11,5 @@ from .mixing import mixed
 
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
-    m = mixed(read(spark, sf_dir, "documents"), ["doc_id"])
-    return m.select("doc_id", F.col("op_size").alias("size"), F.col("op_source_size").alias("source_size"), F.col("op_target").alias("target"), (F.col("op_copies") * F.col("op_size")).cast("long").alias("taken"), F.col("op_rate").alias("rate"))
+    m = mixed(read(spark, sf_dir, "documents"))
+    return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rate")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,8 +35,25 @@ def slices(texts: pa.Array, limit: int = 4_000_000):
         at = to
 
 
+_BLOCK = 1 << 20
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for p in (_P, _P_INV):
+        x = np.full(_BLOCK, p, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x, out=x))
+    return tuple(out)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, A-Z lower-cased; first word of each text and the end) of a large_string array."""
+    """(64-bit hash of each word, A-Z lower-cased; first word of each text and the end) of a large_string array.
+
+    The bytes are gone through in blocks of a fixed size, so that what is held besides the
+    hashes doesn't grow with a text; a word across blocks is put together from its parts.
+    """
     texts = pc.ascii_lower(texts)
     n = len(texts)
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
@@ -42,25 +61,35 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]]
     off = off - off[0]
-    word = ~_BLANK[data]
-    begins = word.copy()
-    begins[1:] &= ~word[:-1]
-    cut = off[:-1][off[:-1] < len(data)]
-    begins[cut] = word[cut]
-    ends = word.copy()
-    ends[:-1] &= ~word[1:] | begins[1:]
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    # a word's polynomial modulo 2**64: difference of prefix sums over the power at its begin
-    power = np.full(len(data), _P, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-    inverse = np.full(len(data), _P_INV, np.uint64)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    h = mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
-    return h, np.searchsorted(first, off)
+    power, inverse = _powers()
+    raws, sizes, firsts, open_ = [], [], [], False
+    for at in range(0, len(data), _BLOCK):
+        d = data[at : at + _BLOCK]
+        word = ~_BLANK[d]
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        cut = off[np.searchsorted(off, at) : np.searchsorted(off, at + len(d))] - at
+        begins[cut] = word[cut]
+        ends = word.copy()
+        ends[:-1] &= ~word[1:] | begins[1:]
+        first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        # a word's polynomial modulo 2**64: difference of prefix sums over the power at its begin
+        sums = np.zeros(len(d) + 1, np.uint64)
+        np.cumsum((d.astype(np.uint64) + np.uint64(1)) * power[: len(d)], out=sums[1:])
+        raw, size = (sums[last] - sums[first]) * inverse[first], (last - first).astype(np.uint64)
+        if open_ and word[0] and not (len(cut) and cut[0] == 0):
+            shift = np.uint64(pow(int(_P), int(sizes[-1][-1]), 1 << 64))
+            raws[-1][-1:] += shift * raw[:1]
+            sizes[-1][-1:] += size[:1]
+            raw, size, first = raw[1:], size[1:], first[1:]
+        open_ = bool(word[-1])
+        if len(raw):
+            raws.append(raw)
+            sizes.append(size)
+            firsts.append(first + at)
+    if not raws:
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+    return mix(np.concatenate(raws) + np.concatenate(sizes)), np.searchsorted(np.concatenate(firsts), off)
 
 
 def pair_hashes(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

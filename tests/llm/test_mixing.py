@@ -49,7 +49,14 @@ def test_query(spark, sf_dir):
 def test_odd_rows(spark):
     rows = [(1, "a b c", "x", 7), (1, "a b c", "x", 8), (None, None, None, 9), (2, "", "x", 1), (3, "w " * 20000, None, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
-    m = mixed(docs, docs.columns).collect()
-    assert len(m) == 5 and {r.copies for r in m} == {7, 8, 9, 1, 2}
+    m = mixed(docs).collect()
+    assert len(m) == 5 and {r.row.copies for r in m} == {7, 8, 9, 1, 2}
     assert set(mix(docs).columns) == set(docs.columns)
     assert mix(docs.limit(0)).count() == 0
+    clash = ["op_copies", "op_id", "k_size", "size", "rate", "row", "sid", "k", "part", "target", "a.b"]
+    more = docs
+    for c in clash:
+        more = more.withColumn(c, docs["copies"])
+    got = mix(more)
+    assert got.columns == more.columns
+    assert sorted(map(str, got.select("doc_id", "copies", "row").collect())) == sorted(map(str, mix(docs).selectExpr("doc_id", "copies", "copies AS row").collect()))

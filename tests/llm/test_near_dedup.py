@@ -5,6 +5,8 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 
+from loomgraph.llm import near_dedup
+from loomgraph.llm import shingles as shingles_module
 from loomgraph.llm.near_dedup import BITS, K, min_values, near_duplicates, odd_sketches, one_of_each
 from loomgraph.llm.shingles import pair_sets, word_hashes
 
@@ -90,3 +92,21 @@ def test_odd_rows(spark):
     assert got == sorted([(1, 5, 1, True), (1, 5, 1, True), (None, 5, None, True), (2, 5, 1, False), (3, 0, 3, True), (4, 1, 4, True)], key=str)
     assert one_of_each(docs).count() == 5
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_words_across_blocks(monkeypatch):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abc d\n") for _ in range(r.randrange(60))) for _ in range(40)] + ["x" * 50, "x" * 50 + "y", "", " "]
+    whole = word_hashes(pa.array(texts, pa.large_string()))
+    for block in (1, 2, 7, 64):
+        monkeypatch.setattr(shingles_module, "_BLOCK", block)
+        h, b = word_hashes(pa.array(texts, pa.large_string()))
+        assert h.tolist() == whole[0].tolist() and b.tolist() == whole[1].tolist()
+
+
+def test_hot_classes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 3)
+    rows = [(i, "one two three four") for i in range(9)] + [(20, "x y"), (21, "x y"), (22, None), (None, "one two three four")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(i, 0) for i in range(9)] + [(20, 20), (21, 20), (22, 22)]
+    assert len(got) == len(rows)
