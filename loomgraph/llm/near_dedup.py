@@ -6,8 +6,8 @@ an odd sketch, a bitmap in which each sample (position, value) flips one bit. Th
 two sketches counts the samples in which they differ: with p of N bits set, the
 symmetric difference is about -N/2 ln(1 - 2p/N), which is most precise where similarity
 is high. A pair of a band is confirmed on the full sets only if that estimate leaves it
-a chance of twice the linking distance: the margin is five standard deviations of
-estimate and sampling together (0.048 at a similarity of 0.6).
+a chance: the margin is five standard deviations of estimate and sampling together
+(0.048 at a similarity of 0.6, less above).
 
 No band's members are paired with each other. In each round the members of a band are
 compared with a few leaders; those that link to a leader leave. The Jaccard distance is
@@ -135,19 +135,19 @@ class _Job:
         self.texts = Table(keyed.join(near, F.col("doc_id") == F.col("c")).select("c", "text"), "texts")
         self.sketches = Table(rep.join(near, "c", "left_semi").select("c", "n_shingles", "sketch"), "sketches")
 
-    def estimate(self, pairs: DataFrame) -> DataFrame:
-        """l, c, n (shingles of c) of the pairs (l, c) whose sketches leave a similarity of at least that of twice the linking distance."""
-        a = self.sketches.df.select(F.col("c").alias("l"), F.col("sketch").alias("sl"))
+    def estimate(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """l, c, n (shingles of c) of the pairs (l, c) that may have a similarity of percent, by the sizes of their sets and by their sketches."""
+        a = self.sketches.df.select(F.col("c").alias("l"), F.col("n_shingles").alias("nl"), F.col("sketch").alias("sl"))
         b = self.sketches.df.select("c", "n_shingles", F.col("sketch").alias("sc"))
         p = F.aggregate(F.zip_with("sl", "sc", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         differ = -BITS / 2 * F.ln(F.greatest(F.lit(1e-3), 1 - 2 * p / F.lit(float(BITS))))
-        j = 1 - differ / (2 * K)
-        floor = 1 - 2 * (1 - self.percent / 100) - MARGIN
-        return pairs.join(a, "l").join(b, "c").where(j >= floor).groupBy("l", "c").agg(F.max("n_shingles").alias("n"))
+        likely = 1 - differ / (2 * K) >= percent / 100 - MARGIN
+        possible = 100 * F.least("nl", "n_shingles") >= percent * F.greatest("nl", "n_shingles")
+        return pairs.join(a, "l").join(b, "c").where(possible & likely).groupBy("l", "c").agg(F.max("n_shingles").alias("n"))
 
-    def verify(self, pairs: DataFrame) -> Table:
-        """l, c, inter, uni of the pairs that the sketches leave, in groups of a leader and a bounded part of its members."""
-        p = Table(self.estimate(pairs), "pairs")
+    def verify(self, pairs: DataFrame, percent: int) -> Table:
+        """l, c, inter, uni of the pairs that may have a similarity of percent, in groups of a leader and a bounded part of its members."""
+        p = Table(self.estimate(pairs, percent), "pairs")
         size = F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)
         parts = p.df.groupBy("l").agg(F.ceil(size).alias("parts"))
         p2 = p.df.join(parts, "l").select("l", "c", F.pmod(F.xxhash64("c"), "parts").alias("part"))
@@ -166,7 +166,7 @@ class _Job:
             pairs = rows.select("l", "c").distinct()
             if tested is not None:
                 pairs = pairs.join(tested.df.select("l", "c"), ["l", "c"], "left_anti")
-            new = self.verify(pairs).df
+            new = self.verify(pairs, twice).df
             tested = Table(new if tested is None else new.unionByName(tested.df), "tested")
             ok = self.linked(tested.df)
             # who is linked to one of its band's leaders has left the band; leaders have met all its members
@@ -198,7 +198,7 @@ class _Job:
         reach = 1 - self.percent / 100 + 1e-9
         open_ = gray.join(near, "l").where((F.col("lx") != F.col("ly")) & (F.col("dx") >= F.col("dy") - reach))
         pairs = open_.select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("c")).distinct().join(tested.df, ["l", "c"], "left_anti")
-        late = self.verify(pairs)
+        late = self.verify(pairs, self.percent)
         more = self.linked(late.df)
         if more.isEmpty():
             return cc
