@@ -58,11 +58,14 @@ class Engine:
         pick = lambda t: g.find_entities(self.entities, t).orderBy("seq").limit(ends).select("id")
         return g.simple_paths(self.simple, pick(a), pick(b), cutoff).orderBy("hops", "path").limit(n)
 
-    def prompts(self) -> DataFrame:
-        """Redundancies between instruction chunks of the tree's prompt files."""
-        d = instructions.classify(instructions.annotate(prompts.chunk_files(self.files.where("length >= 200"))))
-        sig = materialize(instructions.signatures(d), "signatures")
-        return instructions.redundancies(sig, instructions.topic_collisions(sig), instructions.scope_conflicts(sig), instructions.contradictions(sig))
+    def prompts(self, min_bytes: int = 200) -> dict[str, DataFrame]:
+        """Chunks of the tree's prompt files with their redundancies, clusters and summaries."""
+        chunks = materialize(prompts.chunk_files(prompts.prompt_files(self.files, min_bytes)), "chunks")
+        c = materialize(instructions.classify(instructions.annotate(chunks)), "classified")
+        sig, sets = materialize(instructions.signatures(c), "signatures"), instructions.keyword_sets(chunks)
+        red = materialize(instructions.redundancies(sig, instructions.similar_sets(sets)), "redundancies")
+        clusters = materialize(instructions.redundancy_clusters(c, sig, sets, red), "clusters")
+        return {"chunks": c, "redundancies": red, "clusters": clusters, "summary": instructions.summary(c, red, clusters), "most_duplicated": instructions.most_duplicated(c), "combined": instructions.combined_summary(c, red, clusters)}
 
     def dead_code(self, n: int = 30): return traverse.dead_code(traverse.resolve_callees(self.facts["calls"]), self.facts["entries"].select("file"), n=n)
     def hot_paths(self): return traverse.hot_paths(self.facts["calls"])

@@ -1,7 +1,12 @@
-"""Word rules as data: one source for Spark's expressions and for checks in other engines."""
+"""Word rules as data, and their tests as Spark expressions on text in lower case.
+
+A pattern stands between word ends unless it begins or ends with ~. Each is tried only
+where a run of letters that it can't do without is in the text, which is a plain search.
+"""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,7 +16,7 @@ TOPICS = {
     "archetype": r"archetype builder dreamer paper.chaser planner survivor",
     "career": "career employer employment experience job occupation profession seniority work",
     "citizenship": "citizen national naturaliz passport",
-    "document": "assessment certificate document evaluation paperwork transcript",
+    "document": "assessment certificate document evaluation paperwork transcript 认证",
     "education": "academic credential degree diploma education enrollment graduation school university",
     "family": "children dependents family household marital parent partner spouse",
     "financial": "afford budget cost financial funds income money revenue salary savings wealth",
@@ -24,39 +29,77 @@ TOPICS = {
     "timeline": "deadline duration processing schedule timeframe timeline wait",
     "visa": "border entry immigration migrant overstay passport permit status visa",
 }
+_WORD = r"[\p{L}\p{N}_]"
 SCOPES = {
     "global": "always critical mandatory never required universal",
     "in_process": "application applied in.process waiting",
     "post_immigration": "citizen living.abroad permanent.resident post.immigration settled",
     "pre_immigration": "exploring planning pre.immigration ready",
-    "turn_specific": r"turn\s*\d",
+    "turn_specific": rf"turn\s*\d turn\s*\d+[-+](?={_WORD})~",
 }
-#: Families in order of precedence; a trailing ~ leaves the end of a pattern open, a leading one its begin.
+#: Families in order of precedence.
 INTENTS = {
-    "constraint": [r"avoid", r"do not", r"don'?t", r"must not", r"never", r"never assume", r"never repeat", r"never skip", r"not.*allowed", r"prohibited", r"shall not", r"skip"],
-    "mandate": [r"always", r"always ask", r"always include", r"critical", r"hard rule", r"important", r"mandatory", r"must", r"need to", r"never.*skip", r"required", r"shall"],
-    "workflow": [r"after.*(?:answer|reply|response)~", r"before.*(?:continue|move|proceed)~", r"finally", r"firs(?:tly|t)", r"flow", r"followed by", r"next", r"order", r"phase\s*\d~", r"sequence", r"step\s*\d~", r"then", r"turn\s*\d+[-+]~", r"turn\s*\d~"],
-    "definition": [r"consists of", r"enum", r"field", r"has the following", r"includes", r"is defined as", r"means", r"model", r"refers to", r"schema", r"value", r"~```(?:dart)~", r"~```(?:json)~"],
-    "example": [r"bad:\s~", r"example", r"for instance", r"good:\s~", r"instead of", r"such as", r"violation", r"~```~"],
-    "scope": [r"adapt to lifecycle", r"context-aware|contextual|lifecycle-based", r"for\s+(?:exploring|in|planning|post|pre|ready|settled)", r"if\s+(?:the\s+)?(?:lifecycle|pathway|user)~", r"in[-_]process|p(?:re|ost)[-_]immigration|settled(?:_pr)?", r"when\s+(?:the\s+)?(?:lifecycle|status|user)~"],
-    "question": [r"ask\s+['\"]~", r"inquire", r"probe", r"question"],
-}
-STOP = "about above after again all also and any are because been before being below between both but can could did does doing down during each few for from further had has have having her here hers him his how into its itself just more most not now off once only other our out over own same she should some such than that the their them then there these they this those through too under until very was were what when where which while who whom why will with would you your".split()
+    "constraint": ["avoid", "do not", "don'?t", "must not", "never", "never assume", "never repeat", "never skip", "not.*allowed", "prohibited", "shall not", "skip"],
+    "mandate": ["always", "always ask", "always include", "critical", "hard rule", "important", "mandatory", "must", "need to", "never.*skip", "required", "shall"],
+    "workflow": [r"after.*(?:answer|reply|response)~", r"before.*(?:continue|move|proceed)~", "finally", "firs(?:tly|t)", "flow", "followed by", "next", "order", r"phase\s*\d~", "sequence", r"step\s*\d~", "then", r"turn\s*\d+[-+]~", r"turn\s*\d~"],
+    "definition": ["consists of", "enum", "field", "has the following", "includes", "is defined as", "means", "model", "refers to", "schema", r"types?:?\s*$~", "value", "~```dart~", "~```json~"],
+    "example": [r"bad:\s~", rf"e\.g\.(?={_WORD})~", "example", "for instance", r"good:\s~", "instead of", "such as", "violation", "~```~"],
+    "scope": ["adapt to lifecycle", "context-aware|contextual|lifecycle-based", r"for\s+(?:exploring|in|planning|post|pre|ready|settled)", r"if\s+(?:the\s+)?(?:lifecycle|pathway|user)~", "in-process|post-immigration|pre-immigration|settled", "in_process|post_immigration|pre_immigration|settled_pr", r"when\s+(?:the\s+)?(?:lifecycle|status|user)~"],
+    "question": [r"~^\s*\?\s*$~", r"ask\s+['\"]~", "inquire", "probe", "question"],
+}
+STOP = """
+about above after again all already also and are because been before being below between both but can could did does down during each ever every few for from further get going got had has have here how into its
+just know let like make may might mine more most must need nor not off once only other our ours out over own same see shall should some still such sure take than that the their theirs then there these they think
+this those through too under use very want was were what when where which while who whom whose why will with would yet you your yours
+""".split()
 
 
 def java(pattern: str) -> str:
     left, right = pattern.startswith("~"), pattern.endswith("~")
-    return "(?i)" + ("" if left else r"\b") + "(?:" + pattern.strip("~") + ")" + ("" if right else r"\b")
+    return "(?md)" + ("" if left else f"(?<!{_WORD})") + "(?:" + pattern.strip("~") + ")" + ("" if right else f"(?!{_WORD})")
+
+
+def needle(pattern: str) -> str:
+    """The longest run of plain characters that every match has; empty if none is found."""
+    p = re.sub(r"\(\?[^()]*(?:\([^()]*\)[^()]*)*\)\??", "\0", pattern.strip("~"))
+    p = re.sub(r"\[[^\]]*\][+*?]?|\\?.[?*]|\\.\+?|[\^$+.|]", "\0", p)
+    return max(p.split("\0"), key=len)
+
+
+def _one(text: Column, pattern: str) -> Column:
+    found = text.rlike(java(pattern))
+    n = needle(pattern)
+    return text.contains(n) & found if n else found
 
 
-def any_word(text: Column, words: str) -> Column:
-    return text.rlike(java("|".join(words.split())))
+def has(text: Column, pattern: str) -> Column:
+    """Whether a text in lower case matches; alternatives outside of groups are tried one by one."""
+    parts = [pattern] if "(" in pattern else pattern.split("|")
+    return reduce(lambda a, b: a | b, [_one(text, p) for p in parts])
 
 
 def labels(text: Column, rules: dict[str, str]) -> Column:
-    """Names of the rules that hit, in order, as an array."""
-    return F.array_compact(F.array(*[F.when(any_word(text, w), F.lit(k)) for k, w in rules.items()]))
+    """Names of the rules of which a word hits a text in lower case, in order, as an array."""
+    return F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [_one(text, w) for w in words.split()]), F.lit(k)) for k, words in rules.items()]))
 
 
 def hits(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [text.rlike(java(p)).cast("int") for p in patterns])
+    return reduce(lambda a, b: a + b, [has(text, p).cast("int") for p in patterns])
+
+
+def polarity(text: Column) -> Column:
+    """negative, positive or neutral; what forbids goes first."""
+    t = F.lower(text)
+    return F.when(has(t, "avoid|do not|must not|never|skip"), "negative").when(has(t, "always|ask|include|mandatory|must|required"), "positive").otherwise("neutral")
+
+
+def action_phrase(text: Column) -> Column:
+    """What an instruction is about: the words after the first modal, else after the first verb of asking; empty if there is none."""
+    end = r"\s+([\p{L}\p{N}_\s]{3,30}?)(?:\.|,|for|when|if|$)"
+    first = [F.trim(F.lower(F.regexp_extract(text, f"(?is)(?:{words}){end}", 1)), F.lit(" \t\n\r\f\x0b")) for words in ("never|always|must|must not|do not|skip", "ask|skip|assume|include|avoid")]
+    return F.when(first[0] != "", first[0]).otherwise(first[1])
+
+
+def negates(a: Column, b: Column) -> Column:
+    """Whether two instructions are about one action with opposite polarity."""
+    return (action_phrase(a) != "") & (action_phrase(a) == action_phrase(b)) & (polarity(a) != polarity(b))

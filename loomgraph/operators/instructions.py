@@ -1,9 +1,10 @@
 """Instruction text: topics, scopes, intents, severity, and redundancy between chunks.
 
-chunks: file, seq, text. Redundancy is found between signatures, not chunks: all chunks
-of a file with the same primary intent, topics and scopes form one, kept by its first
-chunk and its size. A pair of signatures stands for all pairs of their members, so a
-file with millions of alike chunks gives one row and no quadratic output.
+chunks: file, seq, text. Redundancy is found between classes of chunks, not chunks: all
+chunks of a file with the same primary intent, topics and scopes are one class, all with
+the same keywords another, kept by its first chunk and its size. A pair of classes stands
+for all pairs of their members, so a file with millions of alike chunks gives one row and
+no quadratic output.
 """
 
 from __future__ import annotations
@@ -12,62 +13,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rules import INTENTS, SCOPES, STOP, TOPICS, hits, java, labels
+from ..functions.rules import INTENTS, SCOPES, STOP, TOPICS, has, hits, labels
 from ..sources.scratch import materialize
 from .traverse import components
 
 
+def _once(text: Column, fields) -> Column:
+    """A struct of fields, made from the text in lower case, which is computed once for all of them."""
+    return F.get(F.transform(F.array(F.lower(text)), lambda t: F.struct(*[c.alias(k) for k, c in fields(t).items()])), F.lit(0))
+
+
 def annotate(chunks: DataFrame) -> DataFrame:
     """Adds topics, scopes, question_ids (sorted arrays) and word_count."""
     t = F.col("text")
     ids = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(q_[a-z][a-z0-9_]*)\b"), F.lit(1))))
-    return chunks.select("*", labels(t, TOPICS).alias("topics"), labels(t, SCOPES).alias("scopes"), ids.alias("question_ids"), F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("word_count"))
+    found = _once(t, lambda x: {"topics": labels(x, TOPICS), "scopes": labels(x, SCOPES)})
+    d = chunks.select("*", found.alias("_a")).select("*", "_a.topics", "_a.scopes").drop("_a")
+    return d.select("*", ids.alias("question_ids"), F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("word_count"))
 
 
 def classify(chunks: DataFrame) -> DataFrame:
     """Adds score_<family>, intents, primary_intent (most hits, first family on ties), confidence (its share of all hits) and severity."""
-    d = chunks.select("*", *[hits(F.col("text"), p).alias(f"score_{k}") for k, p in INTENTS.items()])
+
+    def fields(x):
+        return {f"score_{k}": hits(x, p) for k, p in INTENTS.items()} | {"strict": has(x, "always ask|never assume|never skip"), "firm": has(x, "mandatory|must ask|required")}
+
     names = list(INTENTS)
+    d = chunks.select("*", _once(F.col("text"), fields).alias("_a")).select("*", *[F.col(f"_a.score_{k}") for k in names], "_a.strict", "_a.firm").drop("_a")
     score = [F.col(f"score_{k}") for k in names]
     top, total = F.greatest(*score), sum(score[1:], score[0])
     primary = F.when(top == 0, "unknown")
     for k, s in zip(names, score):
         primary = primary.when(s == top, k)
-    d = d.select("*", F.array_compact(F.array(*[F.when(s > 0, F.lit(k)) for k, s in zip(names, score)])).alias("intents"), primary.alias("primary_intent"), F.when(total == 0, 0.0).otherwise(F.round(top / total, 6)).alias("confidence"))
-    return d.withColumn("severity", severity(F.col("text"), F.col("intents"), F.col("primary_intent")))
+    intents = F.array_compact(F.array(*[F.when(s > 0, F.lit(k)) for k, s in zip(names, score)]))
+    d = d.select("*", intents.alias("intents"), primary.alias("primary_intent"), F.when(total == 0, 0.0).otherwise(F.round(top / total, 6)).alias("confidence"))
+    return d.withColumn("severity", severity(F.col("intents"), F.col("primary_intent"), F.col("strict"), F.col("firm"))).drop("strict", "firm")
 
 
-def severity(text: Column, intents: Column, primary: Column) -> Column:
+def severity(intents: Column, primary: Column, strict: Column, firm: Column) -> Column:
     both = F.array_contains(intents, "constraint") & F.array_contains(intents, "mandate")
     return (
         F.when(both, "critical")
-        .when(primary == "constraint", F.when(text.rlike(java("always ask|never assume|never skip")), "high").otherwise("medium"))
-        .when(primary == "mandate", F.when(text.rlike(java("mandatory|must ask|required")), "high").otherwise("medium"))
+        .when(primary == "constraint", F.when(strict, "high").otherwise("medium"))
+        .when(primary == "mandate", F.when(firm, "high").otherwise("medium"))
         .when(primary.isin("definition", "example"), "low")
         .otherwise("medium")
     )
 
 
+def _joined(c: str) -> Column:
+    return F.array_join(c, ",").alias(c)
+
+
 def signatures(classified: DataFrame) -> DataFrame:
     """file, intent, topics, scopes (comma-joined), first_seq, n of all chunks with a topic."""
-    d = classified.where(F.size("topics") > 0)
-    return d.groupBy("file", F.col("primary_intent").alias("intent"), F.array_join("topics", ",").alias("topics"), F.array_join("scopes", ",").alias("scopes")).agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
+    g = classified.groupBy("file", F.col("primary_intent").alias("intent"), _joined("topics"), _joined("scopes")).agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
+    return g.where("topics <> ''")  # after the groups, so that no topic is looked for twice
+
+
+def _strict(sig: DataFrame) -> DataFrame:
+    return sig.where(F.col("intent").isin("constraint", "mandate"))
+
+
+def _collision_severity(intent: Column, topics: Column) -> Column:
+    t = F.split(topics, ",")
+    high = (intent == "mandate") | (topics == "inquiry") | (F.array_contains(t, "inquiry") & F.array_contains(t, "education"))
+    return F.when(high, "high").otherwise("medium")
 
 
 def topic_collisions(sig: DataFrame) -> DataFrame:
     """Chunks of a file with the same constraint or mandate intent on the same topics: n of them, n_pairs between them."""
-    g = sig.where(F.col("intent").isin("constraint", "mandate")).groupBy("file", "intent", "topics").agg(F.min("first_seq").alias("first_seq"), F.sum("n").alias("n")).where("n > 1")
-    t = F.split("topics", ",")
-    high = (F.col("intent") == "mandate") | (F.col("topics") == "inquiry") | (F.array_contains(t, "inquiry") & F.array_contains(t, "education"))
-    return g.select("file", "intent", "topics", "first_seq", "n", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"), F.when(high, "high").otherwise("medium").alias("severity"))
+    g = _strict(sig).groupBy("file", "intent", "topics").agg(F.min("first_seq").alias("first_seq"), F.sum("n").alias("n")).where("n > 1")
+    return g.select("file", "intent", "topics", "first_seq", "n", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"), _collision_severity(F.col("intent"), F.col("topics")).alias("severity"))
+
+
+def _sides(sig: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    cols = ("intent", "topics", "scopes", "first_seq", "n")
+    return tuple(sig.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in cols]) for side in "ab")
 
 
 def _pairs(sig: DataFrame) -> DataFrame:
-    """Different signatures of a file that share a topic, each pair once."""
-    s = sig.withColumn("topic", F.explode(F.split("topics", ",")))
-    a = s.select("file", "topic", *[F.col(c).alias("a_" + c) for c in ("intent", "topics", "scopes", "first_seq", "n")])
-    b = s.select("file", "topic", *[F.col(c).alias("b_" + c) for c in ("intent", "topics", "scopes", "first_seq", "n")])
-    return a.join(b, ["file", "topic"]).where("a_first_seq < b_first_seq").drop("topic").distinct()
+    """Different signatures of a file that share a topic, each pair once: at the least topic that they share."""
+    a, b = _sides(sig.withColumn("topic", F.explode(F.split("topics", ","))), "file", "topic")
+    least = F.array_min(F.array_intersect(F.split("a_topics", ","), F.split("b_topics", ",")))
+    return a.join(b, ["file", "topic"]).where("a_first_seq < b_first_seq").where(F.col("topic") == least).drop("topic")
 
 
 def _disjoint(a: Column, b: Column, ignore: tuple[str, ...] = ()) -> Column:
@@ -79,14 +108,23 @@ def _out(p: DataFrame, sev: str) -> DataFrame:
     return p.select("file", F.col("a_first_seq").alias("a"), F.col("b_first_seq").alias("b"), (F.col("a_n") * F.col("b_n")).alias("n_pairs"), F.lit(sev).alias("severity"))
 
 
+def _apart(pairs: DataFrame) -> DataFrame:
+    return _out(pairs.where(_disjoint(F.col("a_scopes"), F.col("b_scopes"))), "medium")
+
+
+def _contrary(pairs: DataFrame) -> DataFrame:
+    mandates = pairs.where("a_intent = 'mandate' AND b_intent = 'mandate'")
+    return _out(mandates.where(_disjoint(F.col("a_scopes"), F.col("b_scopes"), ("global", "turn_specific"))), "high")
+
+
 def scope_conflicts(sig: DataFrame) -> DataFrame:
     """Constraints and mandates that share a topic and have scopes, none in common."""
-    return _out(_pairs(sig.where(F.col("intent").isin("constraint", "mandate"))).where(_disjoint(F.col("a_scopes"), F.col("b_scopes"))), "medium")
+    return _apart(_pairs(_strict(sig)))
 
 
 def contradictions(sig: DataFrame) -> DataFrame:
     """Mandates that share a topic and whose scopes, but for the general ones, are disjoint."""
-    return _out(_pairs(sig.where("intent = 'mandate'")).where(_disjoint(F.col("a_scopes"), F.col("b_scopes"), ("global", "turn_specific"))), "high")
+    return _contrary(_pairs(sig.where("intent = 'mandate'")))
 
 
 def keywords(text: Column) -> Column:
@@ -95,48 +133,131 @@ def keywords(text: Column) -> Column:
     return F.array_sort(F.array_except(w, F.array(*map(F.lit, STOP))))
 
 
-def semantic_duplicates(chunks: DataFrame, least: float = 0.65, high: float = 0.8) -> DataFrame:
-    """Pairs of keyword sets of one file with a Jaccard similarity of at least `least`: file, a, b (first chunks), n_a, n_b (chunks with that set), shared, similarity, severity.
+def keyword_sets(chunks: DataFrame) -> DataFrame:
+    """file, seq, w (keywords) of chunks that have some, written once."""
+    return materialize(chunks.select("file", "seq", keywords(F.col("text")).alias("w")).where(F.size("w") > 0), "keywords")
+
 
-    Chunks with equal sets are one class. Exact prefix filtering: with its words ordered
-    by rarity, a set of n shares one of its first n - ceil(least * n) + 1 words with any
-    set alike enough, so only these are joined; sizes are compared before anything is
-    counted, and candidates are verified on the whole sets.
+def similar_sets(k: DataFrame, least: float = 0.65, high: float = 0.8) -> DataFrame:
+    """Pairs of keyword sets of one file with a Jaccard similarity of at least `least`: file, a, b (first chunks), n_a, n_b (chunks with that set), n_pairs, shared, similarity, severity.
+
+    Chunks with equal sets are one class, and if they are several, one row with a = b.
+    Exact prefix filtering: with its words ordered by rarity, a set of n shares one of its
+    first n - ceil(least * n) + 1 words with any set alike enough, so only these are
+    joined; sizes are compared before anything is counted, and candidates are verified on
+    the whole sets.
     """
-    k = chunks.select("file", "seq", keywords(F.col("text")).alias("w")).where(F.size("w") > 0)
     sets = materialize(k.groupBy("file", "w").agg(F.min("seq").alias("id"), F.count("*").alias("members")), "sets")
     flat = sets.select("file", "id", F.size("w").alias("n"), F.explode("w").alias("t"))
     freq = flat.groupBy("file", "t").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("file", "id").orderBy("f", "t"))
-    pre = materialize(flat.join(freq, ["file", "t"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(least * F.col("n")) + 1).where("f > 1").select("file", "id", "n", "t"), "prefix")
+    pre = flat.join(freq, ["file", "t"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(least * F.col("n")) + 1).where("f > 1")
+    pre = materialize(pre.select("file", "id", "n", "t"), "prefix")
     b = pre.select("file", F.col("id").alias("id2"), F.col("n").alias("n2"), "t")
     cand = pre.join(b, ["file", "t"]).where((F.col("id") < F.col("id2")) & (F.least("n", "n2") >= least * F.greatest("n", "n2"))).select("file", "id", "id2").distinct()
     x = sets.select("file", F.col("id"), F.col("w").alias("w1"), F.col("members").alias("n_a"))
     y = sets.select("file", F.col("id").alias("id2"), F.col("w").alias("w2"), F.col("members").alias("n_b"))
     v = cand.join(x, ["file", "id"]).join(y, ["file", "id2"]).withColumn("shared", F.size(F.array_intersect("w1", "w2")).cast("long"))
-    v = v.withColumn("similarity", F.round(F.col("shared") / (F.size("w1") + F.size("w2") - F.col("shared")), 6))
-    return v.where(100 * F.col("shared") >= round(100 * least) * (F.size("w1") + F.size("w2") - F.col("shared"))).select("file", F.col("id").alias("a"), F.col("id2").alias("b"), "n_a", "n_b", "shared", "similarity", F.when(F.col("similarity") >= high, "high").otherwise("medium").alias("severity"))
-
+    union = F.size("w1") + F.size("w2") - F.col("shared")
+    v = v.where(100 * F.col("shared") >= round(100 * least) * union)
+    v = v.select("file", F.col("id").alias("a"), F.col("id2").alias("b"), "n_a", "n_b", (F.col("n_a") * F.col("n_b")).alias("n_pairs"), "shared", F.round(F.col("shared") / union, 6).alias("similarity"))
+    m = F.col("members")
+    own = sets.where("members > 1").select("file", F.col("id").alias("a"), F.col("id").alias("b"), m.alias("n_a"), m.alias("n_b"), (m * (m - 1) / 2).cast("long").alias("n_pairs"), F.size("w").cast("long").alias("shared"), F.lit(1.0).alias("similarity"))
+    return v.unionByName(own).withColumn("severity", F.when(F.col("similarity") >= high, "high").otherwise("medium"))
 
-def redundancies(sig: DataFrame, collisions: DataFrame, scopes: DataFrame, contra: DataFrame) -> DataFrame:
-    """file, a, b, type of each pair of signatures once: collisions first, then scope conflicts, then contradictions."""
-    c = collisions.select("file", "intent", "topics", F.col("first_seq").alias("a")).join(sig.select("file", "intent", "topics", F.col("first_seq").alias("b")), ["file", "intent", "topics"]).where("a < b")
-    rows = c.select("file", "a", "b", F.lit("topic_collision").alias("type"), F.lit(0).alias("k"))
-    rows = rows.unionByName(scopes.select("file", "a", "b", F.lit("scope_conflict").alias("type"), F.lit(1).alias("k"))).unionByName(contra.select("file", "a", "b", F.lit("contradiction").alias("type"), F.lit(2).alias("k")))
-    return rows.groupBy("file", "a", "b").agg(F.min_by("type", "k").alias("type"), F.count("*").alias("n_types"))
 
+def semantic_duplicates(chunks: DataFrame, least: float = 0.65, high: float = 0.8) -> DataFrame:
+    return similar_sets(keyword_sets(chunks), least, high)
 
-def redundancy_clusters(red: DataFrame) -> DataFrame:
-    """cluster, file, size: connected signatures of a file, by first chunk."""
-    node = lambda c: F.concat_ws("|", "file", F.lpad(F.col(c).cast("string"), 19, "0"))
-    e = red.select(node("a").alias("source"), node("b").alias("target"))
-    n = e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).distinct()
-    g = components(e, n).groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    return g.select(F.substring_index("component", "|", 1).alias("file"), F.substring_index("component", "|", -1).cast("long").alias("first_seq"), "size")
 
+def redundancies(sig: DataFrame, similar: DataFrame) -> DataFrame:
+    """file, type, a, b, n_pairs, severity, similarity of each pair of classes: topic collisions, scope conflicts, semantic duplicates, contradictions.
 
-def summary(classified: DataFrame) -> DataFrame:
-    """kind, key, n: chunks by intent, severity, topic and scope, in one pass."""
-    x = F.array(F.struct(F.lit("intent").alias("kind"), F.col("primary_intent").alias("key")), F.struct(F.lit("severity").alias("kind"), F.col("severity").alias("key")), F.struct(F.lit("all").alias("kind"), F.lit("chunks").alias("key")))
-    x = F.concat(x, F.transform("topics", lambda t: F.struct(F.lit("topic").alias("kind"), t.alias("key"))), F.transform("scopes", lambda t: F.struct(F.lit("scope").alias("kind"), t.alias("key"))))
-    return classified.select(F.explode_outer(x).alias("x")).groupBy("x.kind", "x.key").agg(F.count("*").alias("n"))
+    a and b are the first chunks of classes of signatures, for semantic duplicates of
+    keyword sets; equal ones stand for the pairs within a class. A pair of chunks may be
+    redundant in several ways, in each once.
+    """
+    strict = _strict(sig)
+    a, b = _sides(strict, "file")
+    c = a.join(b.withColumnsRenamed({"b_intent": "a_intent", "b_topics": "a_topics"}), ["file", "a_intent", "a_topics"]).where("a_first_seq <= b_first_seq")
+    n = F.when(F.col("a_first_seq") == F.col("b_first_seq"), F.col("a_n") * (F.col("a_n") - 1) / 2).otherwise(F.col("a_n") * F.col("b_n"))
+    c = c.select("file", F.col("a_first_seq").alias("a"), F.col("b_first_seq").alias("b"), n.cast("long").alias("n_pairs"), _collision_severity(F.col("a_intent"), F.col("a_topics")).alias("severity"))
+    pairs = materialize(_pairs(strict), "pairs")
+    parts = {"topic_collision": c.where("n_pairs > 0"), "scope_conflict": _apart(pairs), "contradiction": _contrary(pairs)}
+    out = similar.select("file", F.lit("semantic_duplicate").alias("type"), "a", "b", "n_pairs", "severity", "similarity")
+    for kind, d in parts.items():
+        out = out.unionByName(d.select("file", F.lit(kind).alias("type"), "a", "b", "n_pairs", "severity", F.lit(None).cast("double").alias("similarity")))
+    return out
+
+
+def redundancy_counts(red: DataFrame) -> DataFrame:
+    """file, type, severity, n_pairs: redundant pairs of chunks."""
+    return red.groupBy("file", "type", "severity").agg(F.sum("n_pairs").alias("n_pairs"))
+
+
+def redundancy_clusters(classified: DataFrame, sig: DataFrame, sets: DataFrame, red: DataFrame) -> DataFrame:
+    """file, first_seq, size, topic, avg_similarity, severity of each connected group of redundant chunks.
+
+    classified, with sig and sets (keyword_sets) of the same chunks. Nodes are the classes
+    that red names; a chunk that is in one of either kind links the two. topic is the one
+    that most chunks have (ties: by name), avg_similarity the mean over semantic
+    duplicates, severity the highest of a pair.
+    """
+    name = lambda kind, c: F.concat_ws("|", kind, "file", F.col(c).cast("string"))
+    kind = F.when(F.col("type") == "semantic_duplicate", "K").otherwise("S")
+    r = materialize(red.select(name(kind, "a").alias("source"), name(kind, "b").alias("target"), "n_pairs", "severity", "similarity"), "redundant")
+    nodes = r.select(F.col("source").alias("id")).unionByName(r.select(F.col("target").alias("id"))).distinct()
+    chunks = classified.select("file", "seq", F.col("primary_intent").alias("intent"), "topics", _joined("scopes"))
+    chunks = materialize(chunks, "chunks")
+    own = chunks.withColumn("topics", F.array_join("topics", ",")).join(sig, ["file", "intent", "topics", "scopes"])
+    own = own.select("file", "seq", name(F.lit("S"), "first_seq").alias("id"))
+    words = sets.join(sets.groupBy("file", "w").agg(F.min("seq").alias("first")), ["file", "w"]).select("file", "seq", name(F.lit("K"), "first").alias("id"))
+    at = materialize(own.unionByName(words).join(nodes, "id", "left_semi"), "members")
+    both = at.groupBy("file", "seq").agg(F.min("id").alias("source"), F.max("id").alias("target")).where("source <> target").select("source", "target")
+    comp = materialize(components(r.select("source", "target").unionByName(both.distinct()), nodes), "clusters")
+    member = materialize(at.join(comp, "id").select("component", "file", "seq").distinct(), "members")
+    size = member.groupBy("component").agg(F.min("file").alias("file"), F.min("seq").alias("first_seq"), F.count("*").alias("size"))
+    n = member.join(chunks.select("file", "seq", "topics"), ["file", "seq"]).select("component", F.explode("topics").alias("topic")).groupBy("component", "topic").agg(F.count("*").alias("n"))
+    topic = n.groupBy("component").agg(F.min(F.struct((-F.col("n")).alias("n"), "topic"))["topic"].alias("topic"))
+    inside = r.join(comp.withColumnRenamed("id", "source"), "source").groupBy("component")
+    weight = F.when(F.col("similarity").isNotNull(), F.col("n_pairs"))
+    worst = inside.agg(F.max(F.col("severity") == "high").alias("high"), (F.sum(F.col("similarity") * weight) / F.sum(weight)).alias("mean"))
+    d = size.join(worst, "component").join(topic, "component", "left").where("size > 1")
+    return d.select("file", "first_seq", "size", F.coalesce("topic", F.lit("unknown")).alias("topic"), F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("avg_similarity"), F.when(F.col("high"), "high").otherwise("medium").alias("severity"))
+
+
+def _facts(d: DataFrame, kind: str, key, n) -> DataFrame:
+    return d.select("file", F.lit(kind).alias("kind"), (key if isinstance(key, Column) else F.lit(key)).alias("key"), n.cast("double").alias("n"))
+
+
+def summary(classified: DataFrame, red: DataFrame, clusters: DataFrame) -> DataFrame:
+    """file, kind, key, n: totals, chunks by intent (each that they have), severity, topic and scope, redundant pairs by type and severity, and their rate, in percent of the chunks."""
+    pairs = lambda name: F.transform(name, lambda t: F.struct(F.lit(name[:-1]).alias("kind"), t.alias("key")))
+    x = F.concat(F.array(F.struct(F.lit("severity").alias("kind"), F.col("severity").alias("key"))), pairs("intents"), pairs("topics"), pairs("scopes"))
+    by = classified.select("file", F.explode(x).alias("x")).groupBy("file", "x.kind", "x.key").agg(F.count("*").cast("double").alias("n"))
+    t = classified.groupBy("file").agg(F.count("*").alias("chunks"), F.sum("word_count").alias("words"))
+    r = red.groupBy("file").agg(F.sum("n_pairs").alias("pairs"))
+    t = t.join(r, "file", "left").join(clusters.groupBy("file").agg(F.count("*").alias("clusters")), "file", "left").fillna(0)
+    totals = {"chunks": F.col("chunks"), "words": F.col("words"), "words a chunk": F.floor(F.col("words") / F.col("chunks")), "redundancies": F.col("pairs"), "clusters": F.col("clusters"), "redundancy rate": F.round(100 * F.col("pairs") / F.col("chunks"), 1)}
+    rows = F.array(*[F.struct(F.lit("total").alias("kind"), F.lit(k).alias("key"), v.cast("double").alias("n")) for k, v in totals.items()])
+    out = by.unionByName(t.select("file", F.explode(rows).alias("x")).select("file", "x.*"))
+    for kind, col in (("redundancy type", "type"), ("redundancy severity", "severity")):
+        g = red.groupBy("file", F.col(col).alias("key")).agg(F.sum("n_pairs").alias("n"))
+        out = out.unionByName(_facts(g, kind, F.col("key"), F.col("n")))
+    return out
+
+
+def most_duplicated(classified: DataFrame, n: int = 5) -> DataFrame:
+    """file, topic, n of the n topics that most chunks of a file have; ties by name."""
+    g = classified.select("file", F.explode("topics").alias("topic")).groupBy("file", "topic").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("file").orderBy(F.desc("n"), "topic")
+    return g.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
+
+
+def combined_summary(classified: DataFrame, red: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row over the files that have redundancies: files, chunks, redundant pairs, clusters, and critical and high pairs."""
+    files = red.select("file").distinct()
+    chunks = classified.join(files, "file", "left_semi").agg(F.count("*").alias("total_chunks"))
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n_pairs"))), F.lit(0)).alias(f"{s}_count")
+    r = red.agg(F.countDistinct("file").alias("files_analyzed"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("total_redundancies"), of("critical"), of("high"))
+    return r.join(chunks, F.lit(True)).join(clusters.agg(F.count("*").alias("total_clusters")), F.lit(True))

@@ -7,6 +7,9 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.paths import suffix
 
 PROSE = (".instructions", ".md", ".prompt", ".txt")
 SUFFIXES = (*PROSE, ".dart", ".js", ".json", ".jsx", ".py", ".ts", ".tsx", ".yaml", ".yml")
@@ -97,6 +100,11 @@ def chunks_of(content: str) -> list[tuple[str, int, int, str, int]]:
     return out
 
 
+def prompt_files(files: DataFrame, min_bytes: int = 200) -> DataFrame:
+    """Files that may hold instructions: of a prompt suffix, and not very small."""
+    return files.where(suffix(F.col("path")).isin(*SUFFIXES) & (F.col("length") >= min_bytes))
+
+
 def chunk_files(files: DataFrame, min_chars: int = 100) -> DataFrame:
     """file, seq, text, line_start, line_end, heading, heading_level of files (path, content) with enough prompt text."""
 

@@ -58,30 +58,57 @@ SELECT CASE event_type WHEN 'signup' THEN 'addListener' WHEN 'error' THEN 'remov
   CASE WHEN event_id % 13 = 0 THEN '' ELSE 'User' || user_id || '_' || (event_id % 20) END AS enclosing_class,
   CASE event_id % 3 WHEN 0 THEN 'init' WHEN 1 THEN 'dispose' ELSE 'build' END AS context, event_id AS seq FROM events
 """
-#: Text chunks with an instruction sentence each, chosen by number.
-CHUNK = """
-SELECT source AS file, doc_id AS seq, text || ' ' || CASE doc_id % 12
-  WHEN 0 THEN 'You must always ask about education and degree before you proceed.' WHEN 1 THEN 'Never assume the visa status of a spouse.'
-  WHEN 2 THEN 'Do not skip the budget question for exploring users.' WHEN 3 THEN 'It is mandatory to ask about english at turn 2 when planning.'
-  WHEN 4 THEN 'Step 1 then step 2, followed by the next review.' WHEN 5 THEN 'A pathway is defined as a program and consists of streams.'
-  WHEN 6 THEN 'For example, such as a settled migrant.' WHEN 7 THEN 'You must ask about family when waiting for the application.'
-  WHEN 8 THEN 'A certificate is required for settled people, see q_docs_list.' WHEN 9 THEN 'Avoid the risk of refusal; this is not allowed.'
-  WHEN 10 THEN 'The user is required to show savings while exploring, q_funds and q_income2.' ELSE 'Plain prose about a community.' END AS text
+_SENTENCES = """
+You must always ask about education and degree before you proceed.|Never assume the visa status of a spouse.|Do not skip the budget question for exploring users.
+It is mandatory to ask about english at turn 2 when planning.|Step 1 then step 2, followed by the next review.|A pathway is defined as a program and consists of streams.
+For example, such as a settled migrant.|You must ask about family when waiting for the application.|A certificate is required for settled people, see q_docs_list.
+Avoid the risk of refusal; this is not allowed.|The user is required to show savings while exploring, q_funds and q_income2.|Plain prose about a community.
+You shall not repeat; never repeat, never skip.|Don't go: prohibited, must not.|Dont ask "why" and inquire, probe 12 or turn 12-a.|Neverland, skipping and donut are near misses.
+Always include the hard rule; it is critical and important, you need to.|You never ever skip it and shall go on.|An always ask rule.|Mustard, needle and callings miss.
+After your answer, first move, firstly then finally the flow.|Before you continue, phase 3 in order and sequence.|Turn 4+ comes next, step9.|Reorder the overflow of thenceforth firsts.
+It means a value that refers to a field.|The enum includes a schema and a model.|It has the following types:|Other type
+Meanings, fields and valued remodels.|A ```json block.|A ```dart block.|Typescript and prototype lines.
+GOOD: yes, BAD: no.|Instead of a violation, e.g.this, for instance.|Take e.g. this counterexample, goodness.|Bad:x and suchlike examples.
+For settled people when the lifecycle changes.|If the pathway fits, adapt to lifecycle, context-aware.|In-process and pre_immigration, settled_pr.|For preparing, whenever users come, lifecycle based.
+What about it ~ ? ~ asked.|Ask "who" and question it.|Inquiries and probes of questions.|Ask me nothing about self sufficient paper chasers.
+You must decide about a job for planning people.|You must decide about a job for settled people.|You must never ask about a school while applied or permanent resident.|Nothing at all.
+"""
+#: Text chunks with an instruction sentence each, chosen by number; ~ is a line end.
+CHUNK = f"""
+SELECT source AS file, doc_id AS seq, text || ' ' || replace(CASE doc_id % 52 {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_SENTENCES.strip().replace("'", "''").replace(chr(10), "|").split("|")))} ELSE 'Plain.' END, '~', chr(10)) AS text
 FROM documents WHERE text IS NOT NULL
 """
-#: Source files written from parts.
-CODE = r"""
-SELECT 'src/' || CASE p_partkey % 5 WHEN 0 THEN 'services/auth' WHEN 1 THEN 'models/' WHEN 2 THEN 'views/page' WHEN 3 THEN 'tests/test_' ELSE 'core/Main' END
-    || replace(p_name, ' ', '_') || p_partkey || CASE WHEN p_partkey % 6 < 4 THEN '.py' ELSE '.ts' END AS path, p_partkey AS seq,
-  'import os' || chr(10) || 'from .base import Thing' || p_size || chr(10) || 'class ' || CASE WHEN p_size % 4 = 0 THEN 'snake_case' || p_size ELSE 'Item' || p_size END || '(Base):' || chr(10)
-    || '    def run_' || p_size || '(self):' || chr(10)
-    || CASE WHEN p_size % 3 = 0 THEN '        return os.environ["API_KEY_' || p_size || '"]' || chr(10) WHEN p_size % 3 = 1 THEN '        x = os.getenv("HOME_' || p_size || '")' || chr(10) ELSE '' END
-    || CASE WHEN p_size % 5 = 0 THEN 'const ENABLE_X' || p_size || ' = true' || chr(10) WHEN p_size % 5 = 1 THEN 'final int MAX_' || p_size || ' = 42' || chr(10) ELSE '' END
-    || CASE WHEN p_size % 7 = 0 THEN 'base_url = "https://api.example.com/v' || p_size || '"' || chr(10) WHEN p_size % 7 = 1 THEN 'try:' || chr(10) || '    pass' || chr(10) || 'except E:' || chr(10) || '    raise' || chr(10) ELSE '' END
-    || CASE WHEN p_size % 6 = 0 THEN 'if __name__ == "__main__":' || chr(10) || '    main()' || chr(10) WHEN p_size % 6 = 1 THEN 'app.listen(80)' || chr(10) ELSE '' END
-    || CASE WHEN p_partkey % 5 = 3 THEN 'import pytest' || chr(10) || 'def test_a():' || chr(10) || 'def test_b():' || chr(10) ELSE '' END
-    || CASE WHEN p_size % 10 = 3 THEN 'from fastapi import FastAPI' || chr(10) ELSE '' END || '# TODO later' AS content
-FROM part
+_SNIPPETS = """
+if __name__ == "__main__":|    app = FastAPI(x)|def main():|run manage.py now|    __name__ == __main__|app.listen(80)|createServer (1)|export default function f() {}|void main() {|  runApp(X());|  return GetMaterialApp(|CupertinoAppX(
+public static void main(String[] a) {|@SpringBootApplication|func main() {|package main|http.ListenAndServe(":80")|r = gin.Default()|gin.Defaults()|fn main() {|#[tokio::main]|use axum::Router|Rails.application.run|if __FILE__ == __FILE__
+public function index() {|Route::get("/x")|use Symfony|x = os.environ["API_KEY_A"]|y = os.getenv("HOME_A", os.environ.get("HOME_A"))|z = process.env.SECRET_B + process.env["PATH_B"]|process.environment.NO|Platform.environment["TOKEN_C"]|bool.fromEnvironment("IS_C")
+System.getenv("JAVA_D") + System.getProperty("auth_d")|os.LookupEnv("GO_E")|std::env::var("RUST_F") env!("BUILD_F")|env!("ONLY_F") and env!("BOTH_F") std::env::var("BOTH_F")|ENV["RUBY_G"]|getenv("PHP_H") $_ENV["PRIVATE_KEY_H"]|getenv(PHP_I)
+const ENABLE_A = true|final bool IS_B_ENABLED = False|let feature_c = TRUE|const ENABLED_D = true|FeatureFlags.of(x)|FeatureSwitch.of(x)|if (isEnabled("x") = true) FeatureToggle {|if hasFeature("y")|final int MAX_A = 42;|const String NAME_B = "abc";|static num OK = 1;|const MAX_C = 3;|const int ERROR_D = 7|final String AB = "x"
+base_url = "https://api.example.com/v1"|endpoint: http://x.example.org/abc/defghijklmnopqrstuvwxyz/abcdefghijklmnopqrstuvwxyz|baseurls = "https://no.example"|call("/api/users") + get("/v2/x")|call("/apis/users")|from django.db import models|from flask import Flask|import Flasks|import "package:flutter/material.dart"
+import React from "react"|import Vue from "vue"|import "next/link"|import { X } from "@angular/core"|class ActiveRecordX:|Illuminate|const e = require("express")|@RestController|from "../a" import x|from .base import Thing|import "./b.dart"|from "@/c"|from "./lib/index"|import "lib/index"|import java.util.List
+class Item extends Base {|class item_lower {|interface IThing {|class _Hidden {|struct Point {|class UserService {|class HomeController {|class ViewModelX {|enum Color { Red }|throw new Error()|ErrorBoundary|Optional<X>|onError(e)|nothing to see|# TODO later|/** doc */ x|/* block */|/// dart doc|-- sql|import pytest~def test_a():~def test_b():
+import unittest|def test_x():~def test(y):~mock(z)|it("does") expect(1)~test("b")|describe x|assert y~vi.mock|testWidgets("w")~test("v")~setUp()|import "package:mocktail/m.dart"|@Test~@Before|#[test]|func TestA() {~func TestB() {|def test_r~it "x"|function testP() {|class AbTests extends X|toMatchSnapshot()|require.x~import "testing"
+await Firebase.initializeApp(config.key)|Hive.openBox(x)|AuthSetup.x Auth.configure()|runApp(ProviderScope(child: X))|final router = GoRouter(|routes: {}|Logger.setup(a)|Redis.init()|apiUrl = 1~api = 2|fetch(a)|WebSocket(x)|Queue.start()|WidgetsFlutterBinding.ensureInitialized()|SystemChrome.x|createRoot(a) StrictMode|django.setup()|SpringApplication.run(x)
+initialRoute: "/home",|home: HomeScreen(),|path="/" element={<Home />}|path="/x" element={<X />}
+"""
+_S = _SNIPPETS.strip().replace("'", "''").replace("\n", "|").split("|")
+
+
+def _pick(number: str) -> str:
+    return f"CASE ({number}) % {len(_S)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_S)) + " END"
+
+
+#: Source files of ten languages, written from parts; three of the lines above each.
+CODE = f"""
+SELECT CASE p % 6 WHEN 0 THEN 'src/services/' WHEN 1 THEN 'lib/models/' WHEN 2 THEN 'api/Views/' WHEN 3 THEN 'tests/' WHEN 4 THEN 'core/' ELSE '' END
+    || CASE WHEN p % 40 IN (5, 6, 7, 8) THEN 'd' || p || '/' || CASE p % 40 WHEN 5 THEN 'main' WHEN 6 THEN 'app_config' WHEN 7 THEN 'Settings' ELSE 'index' END || ext
+      WHEN p % 50 = 10 THEN 'contest_' || n || '.py'
+      WHEN p % 5 = 3 THEN CASE ext WHEN '.py' THEN 'test_' || t || n || '.py' WHEN '.dart' THEN t || n || '_test.dart' WHEN '.go' THEN t || n || '_test.go' WHEN '.rs' THEN t || n || '_test.rs'
+        WHEN '.rb' THEN t || n || '_spec.rb' WHEN '.java' THEN t || n || 'Test.java' WHEN '.php' THEN t || n || 'Test.php' ELSE t || n || '.spec' || ext END
+      ELSE CASE p % 5 WHEN 0 THEN 'auth_svc' || n WHEN 1 THEN 'cartModel' || n WHEN 2 THEN 'Page' || n ELSE CASE p % 3 WHEN 0 THEN 'a-b' || n WHEN 1 THEN 'MAX_SIZE' || n ELSE '0x' || n END END || ext END AS path,
+  p AS seq, replace('import os~' || {_pick("p")} || '~' || {_pick("p * 7 + 3")} || '~' || {_pick(f"CASE WHEN p % 3 = 0 THEN {len(_S) - 1} - (p * 13 + p_size) % 30 ELSE p * 13 + p_size END")} || '~end', '~', chr(10)) AS content
+FROM (SELECT p_partkey AS p, p_size, CAST(floor(p_partkey / 5) AS BIGINT) AS n, CASE CAST(floor(p_partkey / 5) AS BIGINT) % 4 WHEN 0 THEN 'auth_svc' WHEN 1 THEN 'cartModel' WHEN 2 THEN 'Page' ELSE 'none' END AS t,
+  CASE p_partkey % 11 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.dart' WHEN 3 THEN '.js' WHEN 4 THEN '.java' WHEN 5 THEN '.go' WHEN 6 THEN '.rs' WHEN 7 THEN '.rb' WHEN 8 THEN '.php' WHEN 9 THEN '.tsx' ELSE '.txt' END AS ext FROM part)
 """
 
 
