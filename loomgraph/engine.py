@@ -54,9 +54,8 @@ class Engine:
     def coverage(self): return runtime.coverage_map(self.files)
 
     def paths(self, a: str, b: str, cutoff: int = 8, ends: int = 3, n: int = 3):
-        """The n shortest paths between up to `ends` matches of either term."""
-        pick = lambda t: g.find_entities(self.entities, t).orderBy("seq").limit(ends).select("id")
-        return g.simple_paths(self.simple, pick(a), pick(b), cutoff).orderBy("hops", "path").limit(n)
+        """The n shortest paths between up to `ends` nodes like either term, or files of entities so called."""
+        return g.paths_between(self.edges, self.entities, a, b, cutoff, ends, n).orderBy("hops", "path")
 
     def prompts(self, min_bytes: int = 200) -> dict[str, DataFrame]:
         """Chunks of the tree's prompt files with their redundancies, clusters and summaries."""

@@ -238,4 +238,4 @@ def config_facts(files: DataFrame) -> DataFrame:
 
 def is_source(path):
     """Files worth extracting, as a column."""
-    return suffix(path).isin(".dart", ".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".kt", ".go", ".rs", ".rb", ".php", ".swift", ".c", ".cpp", ".h", ".hpp", ".cs", ".scala", ".vue", ".svelte", ".lua")
+    return suffix(path).isin(*".bash .clj .cs .dart .ex .exs .go .java .js .jsx .kt .php .py .rb .rs .scala .sh .sql .swift .ts .tsx .zsh".split())

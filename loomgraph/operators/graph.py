@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import module_key
+from ..sources.scratch import materialize
+from .traverse import reachable, strong_components
 
 
 def merge_entities(raw: DataFrame) -> DataFrame:
@@ -52,9 +54,12 @@ def hubs(simple: DataFrame, entities: DataFrame, n: int = 10) -> DataFrame:
 
 
 def file_clusters(entities: DataFrame) -> DataFrame:
-    """Entities but modules by their module key; groups of two and more, numbered among all keys."""
-    g = entities.where("type <> 'module'").groupBy(module_key(F.col("file")).alias("name")).agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))
-    return g.withColumn("pos", F.row_number().over(Window.orderBy("name")) - 1).where("size >= 2").select(F.concat(F.lit("cluster_"), "pos").alias("id"), "name", "size", "members")
+    """Entities but modules by their module key; groups of two and more, numbered among all keys, called by the key's last part. Only keys, not members, are numbered in one task."""
+    plain = entities.where("type <> 'module'").select("id", module_key(F.col("file")).alias("key"))
+    keys = plain.groupBy("key").agg(F.count("*").alias("size")).withColumn("pos", F.row_number().over(Window.orderBy("key")) - 1)
+    g = plain.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))
+    d = g.join(keys.where("size >= 2"), "key")
+    return d.select(F.concat(F.lit("cluster_"), "pos").alias("id"), F.substring_index("key", "/", -1).alias("name"), "key", "size", "members")
 
 
 def path_communities(entities: DataFrame) -> DataFrame:
@@ -140,9 +145,10 @@ def find_entities(entities: DataFrame, term: str) -> DataFrame:
     return entities.where(F.lower("id").contains(t) | F.lower("name").contains(t))
 
 
-def query_entities(entities: DataFrame, edges: DataFrame, term: str, max_edges: int = 10) -> DataFrame:
-    """Matches by substring of id or name, each with up to max_edges edges of either direction."""
-    hit = find_entities(entities, term).select("id", "name")
+def query_entities(entities: DataFrame, edges: DataFrame, term: str, max_edges: int = 10, matches: int | None = None) -> DataFrame:
+    """Matches by substring of id or name, the first `matches` or all, each with up to max_edges edges of either direction."""
+    hit = find_entities(entities, term)
+    hit = (hit if matches is None else hit.orderBy("seq").limit(matches)).select("id", "name")
     out = edges.join(hit, edges["source"] == hit["id"]).select("id", "name", F.lit("out").alias("direction"), F.col("target").alias("other"), "type", "seq")
     in_ = edges.join(hit, edges["target"] == hit["id"]).select("id", "name", F.lit("in").alias("direction"), F.col("source").alias("other"), "type", "seq")
     w = Window.partitionBy("id", "direction").orderBy("seq", "other", "type")
@@ -155,8 +161,9 @@ def entity_context(entities: DataFrame, simple: DataFrame, entity: str) -> DataF
     near = simple.where((F.col("source") == entity) | (F.col("target") == entity)).agg(
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("source") == entity, F.concat("type", F.lit(":"), "target")))), ",").alias("outgoing"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("target") == entity, F.concat("type", F.lit(":"), "source")))), ",").alias("incoming"),
+        (F.count_if(F.col("source") == entity) + F.count_if(F.col("target") == entity)).alias("total_connections"),
     )
-    return e.select("id", "type", "name", "file").join(near, F.lit(True))
+    return e.select("id", "type", "name", "file", "line").join(near, F.lit(True))
 
 
 def cluster_edges(simple: DataFrame, members: DataFrame, n: int = 40) -> DataFrame:
@@ -174,30 +181,78 @@ def module_dependencies(simple: DataFrame, entities: DataFrame, sources: int = 2
     return d.join(F.broadcast(first), "source_file", "left_semi").select("source_file", "target_file", F.col("t").cast("long").alias("pos"))
 
 
-def simple_paths(simple: DataFrame, sources: DataFrame, targets: DataFrame, cutoff: int = 8) -> DataFrame:
+def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, cutoff: int = 8) -> DataFrame:
     """All paths without a repeated node from a source to a target of up to cutoff edges; sources, targets: id.
 
-    Each round extends the open paths by a join on their last node, so nothing but paths
-    that still can end is held; a path is kept when it meets a target and goes on.
+    The hops that each node is away from the targets are found first, backwards, so that
+    nothing but paths that still can end is held. Each round extends the open paths by a
+    join on their last node and is written; a path is kept when it meets a target and goes on.
     """
-    adj = simple.where("source <> target").select(F.col("source").alias("tail"), F.col("target").alias("next")).distinct()
+    adj = edges.where("source <> target").select("source", "target").distinct()
+    away = reachable(adj.select(F.col("target").alias("source"), F.col("source").alias("target")), targets.select("id"), cutoff)
+    adj = adj.join(away.withColumnsRenamed({"id": "target", "depth": "away"}), "target")
+    adj = materialize(adj.select(F.col("source").alias("tail"), F.col("target").alias("next"), "away"), "paths")
     now = sources.distinct().select(F.array("id").alias("path"), F.col("id").alias("tail"))
     found = None
-    for _ in range(cutoff):
-        now = now.join(adj, "tail").where(~F.array_contains("path", F.col("next"))).select(F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("tail"))
-        hit = now.join(targets.distinct(), now["tail"] == targets["id"], "left_semi").select("path")
+    for hops in range(1, cutoff + 1):
+        step = now.join(adj, "tail").where((F.col("away") + hops <= cutoff) & ~F.array_contains("path", F.col("next")))
+        now = materialize(step.select(F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("tail"), "away"), "paths")
+        hit = now.where("away = 0").select("path")
         found = hit if found is None else found.unionByName(hit)
+        if now.isEmpty():
+            break
+        now = now.drop("away")
     return found.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("hops"))
 
 
-def import_cycles(edges: DataFrame, max_len: int = 6) -> DataFrame:
-    """Simple cycles of two to max_len imports, each once, beginning at its smallest id."""
-    adj = edges.where("type = 'imports' AND source <> target").select(F.col("source").alias("tail"), F.col("target").alias("next")).distinct()
+def nodes_like(edges: DataFrame, entities: DataFrame, term: str, ends: int = 3) -> DataFrame:
+    """id: the first `ends` nodes of edges whose id holds term, in order of discovery; if none does, the files of the entities it names."""
+    t = term.lower()
+    x = F.array(F.struct(F.col("source").alias("id"), F.lit(0).alias("k")), F.struct(F.col("target").alias("id"), F.lit(1).alias("k")))
+    direct = edges.select("seq", F.explode(x).alias("x")).where(F.lower("x.id").contains(t)).groupBy("x.id").agg(F.min(F.struct("seq", "x.k")).alias("r"))
+    files = find_entities(entities, term).groupBy(F.col("file").alias("id")).agg(F.min(F.struct("seq", F.lit(0).alias("k"))).alias("r"))
+    none = direct.limit(1).agg((F.count("*") == 0).alias("none"))
+    both = direct.unionByName(files.join(none, F.lit(True)).where("none").drop("none"))
+    return both.orderBy("r", "id").limit(ends).select("id")
+
+
+def paths_between(edges: DataFrame, entities: DataFrame, a: str, b: str, cutoff: int = 8, ends: int = 3, n: int = 3) -> DataFrame:
+    """source, target, path, hops: the n shortest paths over all edges between each of the first nodes like a and like b."""
+    p = simple_paths(edges, nodes_like(edges, entities, a, ends), nodes_like(edges, entities, b, ends), cutoff)
+    p = p.select(F.substring_index("path", ">", 1).alias("source"), F.substring_index("path", ">", -1).alias("target"), "path", "hops")
+    w = Window.partitionBy("source", "target").orderBy("hops", "path")
+    return p.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
+
+
+def import_cycles(edges: DataFrame, n: int | None = None, max_len: int | None = None) -> DataFrame:
+    """Simple cycles of two imports and more, each once, beginning at its smallest id; of any length unless max_len is given. The n shortest, or all.
+
+    Only edges inside strongly connected components are followed, as no other is on a
+    cycle; a round is written. There can be as many cycles as there are subsets, so a
+    caller with a large tangle asks import_tangles instead, or bounds the length.
+    """
+    adj = edges.where("type = 'imports' AND source <> target").select("source", "target").distinct()
+    scc = strong_components(adj)
+    one = lambda c: scc.select(F.col("id").alias(c), F.col("component").alias(c + "_"))
+    adj = materialize(adj.join(one("source"), "source").join(one("target"), "target").where("source_ = target_").select(F.col("source").alias("tail"), F.col("target").alias("next")), "cycles")
     now = adj.where(F.col("next") > F.col("tail")).select(F.array("tail", "next").alias("path"), F.col("tail").alias("head"), F.col("next").alias("tail"))
-    found = None
-    for _ in range(max_len - 1):
-        step = now.join(adj, "tail")
+    found, length = None, 1
+    while max_len is None or length < max_len:
+        length += 1
+        step = materialize(now.join(adj, "tail").where(F.col("next") >= F.col("head")), "cycles")
         closed = step.where("next = head").select("path")
         found = closed if found is None else found.unionByName(closed)
         now = step.where((F.col("next") > F.col("head")) & ~F.array_contains("path", F.col("next"))).select(F.array_append("path", F.col("next")).alias("path"), "head", F.col("next").alias("tail"))
-    return found.select(F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("length"))
+        if step.isEmpty():
+            break
+    out = found.select(F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("length"))
+    return out if n is None else out.orderBy("length", "cycle").limit(n)
+
+
+def import_tangles(edges: DataFrame) -> DataFrame:
+    """component, size, edges of each group of modules that import each other in cycles, whatever their lengths."""
+    adj = edges.where("type = 'imports' AND source <> target").select("source", "target").distinct()
+    scc = strong_components(adj)
+    n = scc.groupBy("component").agg(F.count("*").alias("size"))
+    inside = adj.join(scc.withColumnRenamed("id", "source"), "source").join(scc.withColumnsRenamed({"id": "target", "component": "other"}), "target").where("component = other")
+    return n.join(inside.groupBy("component").agg(F.count("*").alias("edges")), "component")

@@ -52,7 +52,7 @@ def step_type(name: Column, type_: Column, file: Column, routes: Column) -> Colu
         F.when(type_ == "route", "ui_entry")
         .when(n.rlike("screen|page|view|widget|component"), "ui_entry")
         .when(name.rlike(HANDLER), "handler")
-        .when(n.isin(*STATE) | n.rlike("set ?state|notify ?listeners"), "state_update")
+        .when(n.isin(*STATE) | n.rlike(r"set\s*state|notify\s*listeners|\.emit\("), "state_update")
         .when(n.rlike("navigate|redirect|push|pop|replace|goto|route") | routes, "navigation")
         .when(n.rlike("save|create|update|delete|find|query|fetch|load|store|insert") & f.rlike("repository|dao|model|table|database|db|drift|supabase|firebase"), "data_operation")
         .when(n.rlike("api|http|request|fetch|dio|axios|client"), "api_call")
@@ -66,36 +66,53 @@ def classify(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def feature_of(entry: Column, file: Column) -> Column:
-    """The entry's name without its kind, else the last telling path part, else the stem, else General."""
-    bare = F.regexp_extract(entry, "^(.+)(Screen|Page|View|Widget|Component|Route)$", 1)
-    parts = F.filter(F.slice(F.split(file, "/"), 1, F.greatest(F.size(F.split(file, "/")) - 1, F.lit(0))), lambda p: ~p.isin("lib", "src", "app", "apps", "packages", ""))
-    stem = F.regexp_extract(file, r"([^/]+?)(\.[^./]*)?$", 1)
-    return F.when(bare != "", bare).when(F.size(parts) > 0, F.element_at(parts, -1)).when(stem != "", stem).otherwise("General")
+    """The entry's id without its kind, else the stem of the last telling part of its path, else General."""
+    kind = "(Screen|Page|View|Widget|Component)$"
+    telling = F.filter(F.split(file, "/"), lambda p: ~p.isin("lib", "src", "app", "apps", "packages", ""))
+    part = F.element_at(telling, -1)
+    return F.when(entry.rlike(kind), F.regexp_extract(entry, f"^(.*){kind}", 1)).when(F.size(telling) > 0, F.regexp_replace(part, r"(?<=.)\.[^.]*$", "")).otherwise("General")
 
 
 def journeys(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """root, name, feature, n_steps, n_types, confidence, chain (nodes in order), nodes (sorted), of journeys of enough steps and confidence; equal chains once."""
+    """A journey for each handler that stands in the file of an entry: entry, root (the handler), name, feature, n_steps, n_types, types, confidence, chain (nodes in order), nodes (sorted), rank.
+
+    A handler in a file of several entries goes with the surest, then the first. Journeys
+    of too few steps or too little confidence are left out. rank orders journeys: the surer
+    first, then by the entry's score, the entry and the handler in order of discovery.
+    """
     entries = ui_entry_points(entities, edges)
-    t = trace(entries, entities, edges).join(classify(entities, edges).select("id", "name", "step_type", "seq"), "id")
-    g = t.groupBy("root").agg(F.count("*").alias("n_steps"), F.countDistinct("step_type").alias("n_types"), F.avg("confidence").alias("mean"), F.array_sort(F.collect_list(F.struct("depth", "seq", "id"))).alias("s"), F.array_join(F.array_sort(F.collect_set("step_type")), ",").alias("types"))
+    h = event_handlers(entries, entities, edges).select("entry", F.col("handler").alias("root"))
+    e = entries.select(F.col("id").alias("entry"), F.col("name").alias("entry_name"), "file", F.col("confidence").alias("score"), F.col("seq").alias("entry_seq"))
+    first = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("score"), "entry_seq", "entry"))
+    h = materialize(h.join(e, "entry").withColumn("r", first).where("r = 1").drop("r"), "handlers")
+    classes = classify(entities, edges).select("id", "name", "step_type", "seq")
+    t = trace(h.select(F.col("root").alias("id")), entities, edges).join(classes, "id")
+    g = t.groupBy("root").agg(
+        F.count("*").alias("n_steps"),
+        F.countDistinct("step_type").alias("n_types"),
+        F.avg("confidence").alias("mean"),
+        F.array_sort(F.collect_list(F.struct("depth", "seq", "id"))).alias("s"),
+        F.array_join(F.array_sort(F.collect_set("step_type")), ",").alias("types"),
+        F.max(F.when(F.col("depth") == 0, F.struct("name", "seq"))).alias("h"),
+    )
     conf = F.least(F.lit(1.0), F.col("mean") * F.least(F.col("n_steps") / MIN_STEPS, F.lit(1.0)) + 0.15 * F.col("n_types") / STEP_TYPES)
-    j = g.withColumn("confidence", F.round(conf, 6)).withColumn("chain", F.array_join(F.transform("s", lambda x: x["id"]), ">")).withColumn("nodes", F.array_sort(F.transform("s", lambda x: x["id"])))
-    j = j.where((F.col("n_steps") >= MIN_STEPS) & (F.col("confidence") >= MIN_CONF))
-    j = j.withColumn("r", F.row_number().over(Window.partitionBy("chain").orderBy("root"))).where("r = 1")
-    e = entries.select(F.col("id").alias("root"), F.col("name"), "file")
-    return j.join(e, "root").select("root", "name", feature_of(F.col("name"), F.col("file")).alias("feature"), "n_steps", "n_types", "types", "confidence", "chain", "nodes")
+    j = g.withColumn("confidence", F.round(conf, 6)).where((F.col("n_steps") >= MIN_STEPS) & (F.col("confidence") >= MIN_CONF)).join(h, "root")
+    ids = F.transform("s", lambda x: x["id"])
+    rank = F.struct((-F.col("confidence")).alias("a"), (-F.col("score")).alias("b"), F.col("entry_seq").alias("c"), F.col("h.seq").alias("d"), F.col("root").alias("e"))
+    name = F.concat("entry_name", F.lit(" → "), F.col("h.name"))
+    return j.select("entry", "root", name.alias("name"), feature_of(F.col("entry"), F.col("file")).alias("feature"), "file", "n_steps", "n_types", "types", "confidence", F.array_join(ids, ">").alias("chain"), F.array_sort(ids).alias("nodes"), rank.alias("rank"))
 
 
 def drop_near_duplicates(j: DataFrame, same: float = SAME) -> DataFrame:
-    """Greedy: by falling confidence, a journey goes if one that stays is more than `same` alike by Jaccard of nodes.
+    """Greedy, in order of rank: a journey goes if one that stays is more than `same` alike by Jaccard of nodes.
 
     Pairs are found by their shared nodes. A journey is settled once all better ones it is
     like are settled, so a round settles every journey that has none open; the rounds are
     as many as the longest such chain.
     """
-    nodes = materialize(j.select("root", "confidence", F.size("nodes").alias("n"), F.explode("nodes").alias("node")), "near")
-    b = nodes.select(F.col("root").alias("better"), F.col("confidence").alias("c2"), F.col("n").alias("n2"), "node")
-    pairs = nodes.join(b, "node").where((F.col("c2") > F.col("confidence")) | ((F.col("c2") == F.col("confidence")) & (F.col("better") < F.col("root"))))
+    nodes = materialize(j.select("root", "rank", F.size("nodes").alias("n"), F.explode("nodes").alias("node")), "near")
+    b = nodes.select(F.col("root").alias("better"), F.col("rank").alias("rank2"), F.col("n").alias("n2"), "node")
+    pairs = nodes.join(b, "node").where(F.col("rank2") < F.col("rank")).where(F.least("n", "n2") > same * F.greatest("n", "n2"))
     k = pairs.groupBy("root", "better", "n", "n2").agg(F.count("*").alias("k")).where(F.col("k") > same * (F.col("n") + F.col("n2") - F.col("k")))
     like = materialize(k.select("root", "better"), "near")
     open_ = materialize(j.select("root").distinct(), "near")
@@ -111,9 +128,16 @@ def drop_near_duplicates(j: DataFrame, same: float = SAME) -> DataFrame:
     return j.limit(0) if kept is None else j.join(kept, "root", "left_semi")
 
 
+def steps(j: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """root, pos, id, name, file, line, step_type of the steps of journeys, in order."""
+    d = j.select("root", F.posexplode(F.split("chain", ">")).alias("pos", "id"))
+    what = classify(entities, edges).select("id", "name", "file", "step_type").join(entities.select("id", "line"), "id")
+    return d.join(what, "id").select("root", "pos", "id", "name", "file", "line", "step_type")
+
+
 def report(j: DataFrame) -> DataFrame:
     """kind, key, n: journeys by feature, by type of step they contain, and by confidence."""
-    bucket = F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.5, "medium").otherwise("low")
+    bucket = F.when(F.col("confidence") >= 0.8, "high (>=0.8)").when(F.col("confidence") >= 0.5, "medium (0.5-0.8)").otherwise("low (<0.5)")
     rows = F.array_append(F.transform(F.split("types", ","), lambda t: F.struct(F.lit("step_type").alias("kind"), t.alias("key"))), F.struct(F.lit("feature").alias("kind"), F.col("feature").alias("key")))
     rows = F.array_append(rows, F.struct(F.lit("confidence").alias("kind"), bucket.alias("key")))
     return j.select(F.explode(rows).alias("x")).groupBy("x.kind", "x.key").agg(F.count("*").alias("n"))
@@ -121,4 +145,4 @@ def report(j: DataFrame) -> DataFrame:
 
 def find(j: DataFrame, term: str = "", n: int = 20) -> DataFrame:
     t = term.lower()
-    return j.where(F.lower("feature").contains(t) | F.lower("name").contains(t)).orderBy(F.desc("confidence"), "root").limit(n)
+    return j.where(F.lower("feature").contains(t) | F.lower("name").contains(t)).orderBy("rank").limit(n)

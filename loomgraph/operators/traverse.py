@@ -8,23 +8,34 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialize
 
 
+#: Up to so many rows a frontier goes SEVERAL hops in one job, which then costs more joins but fewer rounds.
+SMALL, SEVERAL = 200_000, 3
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """id, depth: nodes that seeds (id) reach, seeds included, with the least number of hops.
 
-    Only the frontier is joined with the edges; visited nodes are removed by an anti-join,
-    so the work of all rounds is one pass over the reached part.
+    Only the frontier is joined with the edges, and what was seen before is removed by an
+    anti-join. The nodes of a round's last hop are the next frontier.
     """
     adj = materialize(edges.select("source", "target").distinct(), "adjacency")
     layer = materialize(seeds.select("id").distinct().withColumn("depth", F.lit(0).cast("long")), "bfs")
-    seen, depth = layer, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        nxt = layer.select(F.col("id").alias("source")).join(adj, "source").select(F.col("target").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        layer = materialize(nxt.withColumn("depth", F.lit(depth).cast("long")), "bfs")
-        if layer.isEmpty():
-            break
-        seen = seen.unionByName(layer)
-        if depth % 8 == 0:  # keeps plans small on long chains
+    seen, depth, rounds, n = layer, 0, 0, layer.count()
+    while n and (max_depth is None or depth < max_depth):
+        hops = SEVERAL if n <= SMALL else 1
+        hops = hops if max_depth is None else min(hops, max_depth - depth)
+        at, met = layer.select("id"), None
+        for h in range(1, hops + 1):
+            at = at.select(F.col("id").alias("source")).join(adj, "source").select(F.col("target").alias("id")).distinct()
+            step = at.withColumn("depth", F.lit(depth + h).cast("long"))
+            met = step if met is None else met.unionByName(step)
+        new = met.groupBy("id").agg(F.min("depth").alias("depth")) if hops > 1 else met
+        new = materialize(new.join(seen.select("id"), "id", "left_anti"), "bfs")
+        depth, rounds = depth + hops, rounds + 1
+        layer = new.where(F.col("depth") == depth)
+        n = layer.count()
+        seen = seen.unionByName(new)
+        if rounds % 8 == 0:  # keeps plans small on long chains
             seen = materialize(seen, "bfs")
     return seen
 
@@ -52,7 +63,7 @@ def adjacency(calls: DataFrame) -> DataFrame:
     return calls.select("source").unionByName(calls.select(F.col("target").alias("source"))).distinct().withColumnRenamed("source", "id")
 
 
-ENTRY_NAMES = ("main", "build", "initState", "dispose", "createState", "runApp", "didChangeDependencies", "didUpdateWidget", "deactivate", "createElement")
+ENTRY_NAMES = ("componentDidMount", "configure", "init", "main", "mounted", "ngOnInit", "run", "setup", "start", "useEffect")
 
 
 def dead_code(calls: DataFrame, entry_files: DataFrame, names=ENTRY_NAMES, n: int | None = 30) -> DataFrame:
@@ -63,14 +74,15 @@ def dead_code(calls: DataFrame, entry_files: DataFrame, names=ENTRY_NAMES, n: in
     different callers. The first n by name.
     """
     nodes = adjacency(calls)
-    file, rest = F.substring_index("id", "::", 1), F.substring_index("id", "::", -1)
+    file, rest = F.substring_index("id", "::", 1), F.get(F.split("id", "::"), F.lit(1))
     named = nodes.where(F.col("id").contains("::"))
-    seeds = named.join(F.broadcast(entry_files.distinct()), file == F.col("file"), "left_semi").unionByName(named.where(rest.isin(*names)))
+    seeds = named.join(entry_files.distinct(), file == F.col("file"), "left_semi").unionByName(named.where(rest.isin(*names)))
     out = calls.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("calls_count"))
     in_ = calls.groupBy(F.col("target").alias("id")).agg(F.countDistinct("source").alias("called_by_count"))
     live = reachable(calls, seeds)
     dead = named.join(live.select("id"), "id", "left_anti").join(out, "id", "left").join(in_, "id", "left").fillna(0, ["calls_count", "called_by_count"])
     dead = dead.where("calls_count + called_by_count > 0")
+    dead = dead.select("id", rest.alias("function"), file.alias("file"), "calls_count", "called_by_count")
     return dead if n is None else dead.orderBy("id").limit(n)
 
 
@@ -99,8 +111,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         now = materialize(left.select(F.col("source").alias("id")).unionByName(left.select(F.col("target").alias("id"))).distinct().withColumn("c", F.col("id")), "scc")
         while True:
-            best = left.join(now.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("c").alias("m"))
-            nxt = materialize(now.join(best, "id", "left").select("id", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")), "scc")
+            step = now
+            for _ in range(SEVERAL):
+                best = left.join(step.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("c").alias("m"))
+                step = step.join(best, "id", "left").select("id", F.least("c", "m").alias("c"))
+            nxt = materialize(step.join(now.withColumnRenamed("c", "old"), "id").select("id", "c", (F.col("c") < F.col("old")).alias("moved")), "scc")
             now = nxt.drop("moved")
             if nxt.where("moved").isEmpty():
                 break
@@ -161,18 +176,74 @@ def resolve_callees(calls: DataFrame) -> DataFrame:
     return calls.join(one, "target", "left").withColumn("target", F.coalesce("full", "target")).drop("full")
 
 
-def label_propagation(simple: DataFrame, entities: DataFrame, rounds: int = 5) -> DataFrame:
-    """id, community: each node takes the commonest label of its neighbours and itself, ties to the smallest; communities of two and more."""
+def label_propagation(simple: DataFrame, entities: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """id, community, size: each node takes the commonest label of its neighbours and itself, ties to the smallest; communities of two and more.
+
+    Rounds go on until no label changes, or until the labels are those of two rounds
+    before, as two sides can swap theirs for ever; max_rounds only guards longer circles.
+    """
     und = materialize(simple.select("source", "target").unionByName(simple.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct(), "lp")
     now = entities.select("id", F.col("id").alias("community"))
-    for _ in range(rounds):
+    marks: list = []
+    for _ in range(max_rounds):
         votes = und.join(now.withColumnRenamed("id", "source"), "source").select(F.col("target").alias("id"), "community").unionByName(now)
         n = votes.groupBy("id", "community").agg(F.count("*").alias("n"))
         now = materialize(n.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b")).select("id", "b.community"), "lp")
+        marks.append(now.agg(F.sum(F.xxhash64("id", "community").cast("decimal(38,0)"))).first()[0])
+        if marks[-1] in marks[-3:-1]:
+            break
     big = now.groupBy("community").agg(F.count("*").alias("size")).where("size >= 2")
     return now.join(big, "community").select("id", "community", "size")
 
 
+def greedy_modularity(simple: DataFrame, max_edges: int = 200_000) -> DataFrame:
+    """id, community (its smallest id), size: communities of two and more by merging, again and again, the two whose union raises modularity most.
+
+    Each merge depends on the one before, so the graph is one task's; a larger one is
+    refused, and is label_propagation's. Ties go to the smaller ids.
+    """
+    e = simple.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    if e.limit(max_edges + 1).count() > max_edges:
+        raise ValueError(f"over {max_edges} edges: use label_propagation")
+
+    def run(pdf):
+        import heapq
+
+        import pandas as pd
+
+        ids = sorted(set(pdf["a"]) | set(pdf["b"]))
+        at = {x: i for i, x in enumerate(ids)}
+        m = len(pdf)
+        near: list[dict] = [{} for _ in ids]
+        for x, y in zip(pdf["a"].map(at), pdf["b"].map(at)):
+            near[x][y] = near[y][x] = 1.0 / m
+        share = [sum(d.values()) / 2 for d in near]
+        members: list = [[i] for i in range(len(ids))]
+        gain = lambda x, y: near[x][y] - 2 * share[x] * share[y]
+        heap = [(-gain(x, y), x, y) for x in range(len(ids)) for y in near[x] if x < y]
+        heapq.heapify(heap)
+        while heap:
+            g, x, y = heapq.heappop(heap)
+            if not members[x] or not members[y] or y not in near[x] or abs(gain(x, y) + g) > 1e-15:
+                continue  # an older state's
+            if -g <= 1e-12:
+                break
+            members[x] += members[y]
+            members[y] = []
+            share[x] += share[y]
+            for z, w in near[y].items():
+                del near[z][y]
+                if z != x:
+                    near[x][z] = near[z][x] = near[x].get(z, 0.0) + w
+            near[y] = {}
+            for z in near[x]:
+                heapq.heappush(heap, (-gain(*sorted((x, z))), *sorted((x, z))))
+        rows = [(ids[i], ids[min(g)], len(g)) for g in members if len(g) > 1 for i in g]
+        return pd.DataFrame(rows, columns=["id", "community", "size"])
+
+    return e.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "id string, community string, size long")
+
+
 def modularity(simple: DataFrame, communities: DataFrame) -> float:
     """Of a partition (id, community) over undirected edges; nodes without a community stand alone."""
     e = simple.where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()

@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-#: Parts as code entities; the last tenth is emitted a second time, as a module, to be merged.
+#: Parts as code entities, eight to a file; the last tenth is emitted a second time, as a module, to be merged.
 ENT_RAW = """
-SELECT 'P' || p_partkey AS id,
-  CASE WHEN p_partkey % 8 IN (1, 4, 5, 6, 7) THEN 'function' WHEN p_partkey % 16 = 0 THEN 'route' ELSE 'class' END AS type,
-  CASE p_partkey % 8 WHEN 0 THEN 'Item' || p_partkey || 'Screen' WHEN 1 THEN 'onPressed' || p_partkey WHEN 2 THEN 'Order' || p_partkey || 'Service'
-    WHEN 3 THEN 'user' || p_partkey || 'Repository' WHEN 4 THEN 'setState' WHEN 5 THEN 'goToItem' || p_partkey WHEN 6 THEN 'FetchUsers' || p_partkey ELSE 'processOrder' || p_partkey END AS name,
-  'packages/' || lower(replace(p_brand, '#', '')) || CASE WHEN p_partkey % 7 = 3 THEN '/test/' WHEN p_partkey % 5 = 2 THEN '/lib/_internal/' ELSE '/lib/' END
-    || replace(p_name, ' ', '_') || CASE WHEN p_partkey % 9 = 4 THEN '_model' ELSE '' END || '.dart' AS file,
-  CAST(p_size AS BIGINT) AS line, p_partkey * 10 AS seq FROM part
+SELECT 'P' || p AS id, CASE WHEN p % 8 IN (1, 4, 5, 6, 7) THEN 'function' WHEN p % 16 = 0 THEN 'route' ELSE 'class' END AS type,
+  CASE p % 8 WHEN 0 THEN 'Item' || p || 'Screen' WHEN 1 THEN 'onPressed' || p WHEN 2 THEN 'Order' || p || 'Service' WHEN 3 THEN 'user' || p || 'Repository' WHEN 4 THEN 'setState' WHEN 5 THEN 'goToItem' || p
+    WHEN 6 THEN CASE p % 40 WHEN 6 THEN 'handleTap' || p WHEN 14 THEN 'SwipeItem' || p WHEN 22 THEN '_onEdit' || p WHEN 30 THEN 'onward' || p ELSE 'FetchUsers' || p END ELSE 'processOrder' || p END AS name,
+  'packages/b' || (g % 25) || CASE WHEN g % 7 = 3 THEN '/test/' WHEN g % 5 = 2 THEN '/lib/_internal/' ELSE '/lib/' END
+    || CASE g % 6 WHEN 0 THEN 'list_screen' WHEN 1 THEN 'order_service' WHEN 2 THEN 'user_dao' WHEN 3 THEN 'drift_db' WHEN 4 THEN 'helper' ELSE 'plain_model' END || g || '.dart' AS file,
+  CAST(p_size AS BIGINT) AS line, p * 10 AS seq FROM (SELECT p_partkey AS p, p_size, CAST(floor(p_partkey / 8) AS BIGINT) AS g FROM part)
 UNION ALL
 SELECT 'P' || p_partkey, 'module', 'again' || p_partkey, 'packages/late/lib/x.dart', CAST(0 AS BIGINT), p_partkey * 10 + 5 FROM part WHERE p_partkey % 10 = 9
 """
@@ -45,18 +44,21 @@ DEP_ENT = """
 SELECT 'P' || p_partkey AS id, 'class' AS type, p_name AS name, 'packages/' || lower(replace(p_brand, '#', '')) || '/lib/' || replace(p_name, ' ', '_') || '.dart' AS file, CAST(p_size AS BIGINT) AS line, p_partkey AS seq FROM part
 UNION ALL SELECT 'S' || s_suppkey, 'module', s_name, 'vendor/n' || s_nationkey || '/' || s_name, CAST(0 AS BIGINT), 1000000000 + s_suppkey FROM supplier
 """
-#: customer -> nation -> region, and order -> customer.
+#: order -> customer -> nation -> region, with customers and nations that call each other in circles.
 DAG = """
 SELECT 'O' || o_orderkey || '::place' AS source, 'C' || o_custkey || '::pay' AS target, CAST(1 AS BIGINT) AS line FROM orders
 UNION ALL SELECT 'C' || c_custkey || '::pay', 'N' || c_nationkey || '::tax', CAST(2 AS BIGINT) FROM customer
 UNION ALL SELECT 'N' || n_nationkey || '::tax', 'R' || n_regionkey, CAST(3 AS BIGINT) FROM nation
+UNION ALL SELECT 'N' || n_nationkey || '::tax', 'N' || CASE n_nationkey WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 3 ELSE 4 END || '::tax', CAST(4 AS BIGINT) FROM nation WHERE n_nationkey IN (3, 4, 5, 9)
+UNION ALL SELECT 'C' || c_custkey || '::pay', 'C' || CASE c_custkey % 2 WHEN 0 THEN c_custkey - 1 ELSE c_custkey + 1 END || '::pay', CAST(5 AS BIGINT) FROM customer WHERE c_custkey <= 10
 """
 #: State mutations, lifecycle components and such from events.
 MUT = """
-SELECT CASE event_type WHEN 'signup' THEN 'addListener' WHEN 'error' THEN 'removeListener' WHEN 'click' THEN 'setState' WHEN 'purchase' THEN 'notifyListeners' ELSE 'setValue' END AS type,
+SELECT CASE event_type WHEN 'signup' THEN 'addListener' WHEN 'error' THEN 'removeListener' WHEN 'click' THEN CASE event_id % 4 WHEN 0 THEN 'setState' WHEN 1 THEN 'emit' WHEN 2 THEN 'update' ELSE 'set' END
+    WHEN 'purchase' THEN 'notifyListeners' ELSE CASE event_id % 2 WHEN 0 THEN 'setValue' ELSE 'updates' END END AS type,
   'lib/u' || (user_id % 50) || '.dart' AS file, event_id % 400 AS line, 'm' || (event_id % 7) AS enclosing_method,
-  CASE WHEN event_id % 13 = 0 THEN '' ELSE 'User' || user_id || '_' || (event_id % 20) END AS enclosing_class,
-  CASE event_id % 3 WHEN 0 THEN 'init' WHEN 1 THEN 'dispose' ELSE 'build' END AS context, event_id AS seq FROM events
+  CASE WHEN event_id % 13 = 0 THEN '' ELSE 'User' || (user_id % 60) || '_' || (event_id % 20) END AS enclosing_class,
+  CASE event_id % 4 WHEN 0 THEN 'init' WHEN 1 THEN 'dispose' WHEN 2 THEN 'build' END AS context, event_id AS seq FROM events
 """
 _SENTENCES = """
 You must always ask about education and degree before you proceed.|Never assume the visa status of a spouse.|Do not skip the budget question for exploring users.

@@ -10,8 +10,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARKERS = ("pubspec.yaml", "package.json", "pyproject.toml", "Cargo.toml", "go.mod", "setup.py", "requirements.txt", ".git")
-IGNORED = (".dart_tool", ".git", ".idea", ".venv", ".vscode", "__pycache__", "build", "coverage", "dist", "node_modules", "venv", "*.freezed.dart", "*.g.dart", "*.min.js", "*.pyc")
+MARKERS = (".git", "Cargo.toml", "build.gradle", "go.mod", "package.json", "pom.xml", "pubspec.yaml", "pyproject.toml")
+IGNORED = (".dart_tool", ".git", ".gradle", ".idea", ".venv", "__pycache__", "build", "dist", "node_modules", "target", "venv", "*.freezed.dart", "*.g.dart", "*.gr.dart", "*.mocks.dart")
 
 
 def project_root(start: str) -> Path:
@@ -26,8 +26,8 @@ def ignored(path: Column, patterns=IGNORED) -> Column:
     return reduce(lambda a, b: a | b, [path.endswith(p[1:]) if p.startswith("*") else F.array_contains(seg, p) | path.startswith(p) for p in patterns])
 
 
-def scan(spark: SparkSession, root: str, patterns=IGNORED, keep=None, min_bytes: int = 0, files_per_task: int = 500) -> DataFrame:
-    """path (relative), content, length of the files below root, a folder or URI.
+def scan(spark: SparkSession, root: str, patterns=(), dirs=(), keep=None, min_bytes: int = 0, files_per_task: int = 500) -> DataFrame:
+    """path (relative), content, length of the files below root, a folder or URI, or below its dirs; patterns are ignored beside IGNORED.
 
     Names and sizes are listed once, as any file index does; contents are read by the
     executors, after the filters on path and length. Spark's own file sources skip names
@@ -36,7 +36,9 @@ def scan(spark: SparkSession, root: str, patterns=IGNORED, keep=None, min_bytes:
     uri = root if "://" in root else Path(root).resolve().as_uri()
     store, base = fs.FileSystem.from_uri(uri)
     listed = [(f.path[len(base) :].lstrip("/"), f.size) for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file]
-    d = spark.createDataFrame(listed, "path string, length long").where(~ignored(F.col("path"), patterns) & (F.col("length") >= min_bytes))
+    if dirs:
+        listed = [x for x in listed if any(x[0].startswith(d.strip("/") + "/") for d in dirs)]
+    d = spark.createDataFrame(listed, "path string, length long").where(~ignored(F.col("path"), [*IGNORED, *patterns]) & (F.col("length") >= min_bytes))
     if keep is not None:
         d = d.where(keep(F.col("path")))
 

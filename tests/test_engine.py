@@ -3,7 +3,7 @@ import json
 
 from loomgraph.engine import Engine
 from loomgraph.operators.prompts import chunks_of, prompt_text
-from loomgraph.operators.startup import framework_inits, initializations
+from loomgraph.operators.startup import framework_inits, initial_route, initializations
 from loomgraph.sources.sinks import append_section, graph_json, mermaid
 from loomgraph.streaming.rescan import changes_per_window, file_stream, merge_hashes
 from tests.test_extract import PROJECT, write
@@ -42,9 +42,11 @@ def test_prompts():
 
 
 def test_startup(spark):
-    f = spark.createDataFrame([("a.py", "def main():\n    setup_db()\n    app = Flask(x)\n" + "x\n" * 60 + "initLate()\n", 1)], "path string, content string, seq long")
-    assert [(r.line, r.name) for r in initializations(f).collect()] == [(2, "setup_db")]
-    assert {r.framework for r in framework_inits(f).collect()} == {"Flask"}
+    text = "void main() async {\n  await Firebase.initializeApp(config.key);\n  WidgetsFlutterBinding.ensureInitialized();\n  home: HomeScreen(),\n" + "x\n" * 60 + "Redis.init()\n"
+    f = spark.createDataFrame([("main.dart", text, 1)], "path string, content string, seq long")
+    assert [(r.line, r.type, r.name, r.config_refs, r.is_async) for r in initializations(f).collect()] == [(2, "database", "Firebase", "key", True)]
+    assert [tuple(r) for r in framework_inits(f).collect()] == [("main.dart", 1, 3, "flutter", "flutter_binding")]
+    assert [tuple(r) for r in initial_route(f).collect()] == [("main.dart", 1, None, "HomeScreen")]
 
 
 def test_stream(spark, tmp_path):

@@ -59,13 +59,14 @@ def test_degrees_paths_and_cycles(spark):
     one = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
     got = {r.path for r in g.simple_paths(simple, one(NODES[0], NODES[1]), one(NODES[5], NODES[7]), 5).collect()}
     assert got == {">".join(p) for s in NODES[:2] for p in paths(s, {NODES[5], NODES[7]}, 5)}
-    cycles = {r.cycle for r in g.import_cycles(edges, 4).collect()}
     want = set()
     for n in NODES:
-        for m in (p for p in [[n], *paths(n, set(NODES), 3)] if all(x >= n for x in p)):
+        for m in (p for p in [[n], *paths(n, set(NODES), N)] if all(x >= n for x in p)):
             if len(m) > 1 and (m[-1], n) in E:
                 want.add(">".join(m))
-    assert cycles == want
+    assert {r.cycle for r in g.import_cycles(edges).collect()} == want
+    assert {r.cycle for r in g.import_cycles(edges, max_len=4).collect()} == {c for c in want if c.count(">") < 4}
+    assert [r.length for r in g.import_cycles(edges, n=2).collect()] == sorted(c.count(">") + 1 for c in want)[:2]
 
 
 def test_depth_on_a_chain_with_a_loop(spark):
@@ -88,13 +89,45 @@ def test_depth_of_a_long_chain(spark):
 
 
 def test_checkout_journey(spark):
-    ent = [("r", "route", "/checkout"), ("s", "class", "CheckoutScreen"), ("h", "function", "onPressed"), ("o", "function", "processOrder"), ("u", "function", "setState")]
-    edges = [("r", "s"), ("s", "h"), ("h", "o"), ("o", "u")]
+    ent = [("r", "route", "/checkout"), ("CheckoutScreen", "class", "CheckoutScreen"), ("h", "function", "onPressed"), ("o", "function", "processOrder"), ("u", "function", "setState"), ("k", "function", "onward")]
+    edges = [("r", "CheckoutScreen"), ("CheckoutScreen", "h"), ("h", "o"), ("o", "u")]
     e = spark.createDataFrame([(i, ty, n, "lib/checkout.dart", 1, k) for k, (i, ty, n) in enumerate(ent)], "id string, type string, name string, file string, line long, seq long")
     d = spark.createDataFrame([(a, b, "calls", "EXTRACTED", k) for k, (a, b) in enumerate(edges)], "source string, target string, type string, confidence string, seq long")
-    assert {r.id: r.step_type for r in jo.classify(e, d).collect()} == {"r": "ui_entry", "s": "ui_entry", "h": "handler", "o": "service_call", "u": "state_update"}
-    j = jo.journeys(e, d)
-    rows = {r.root: r for r in j.collect()}
-    assert rows["r"].n_steps == 5 and rows["s"].n_steps == 4 and rows["r"].confidence > 0.5
-    assert {r.root for r in jo.drop_near_duplicates(j).collect()} < set(rows)
+    assert {r.id: r.step_type for r in jo.classify(e, d).collect()} == {"r": "ui_entry", "CheckoutScreen": "ui_entry", "h": "handler", "o": "service_call", "u": "state_update", "k": "service_call"}
+    assert {(r.entry, r.handler, r.confidence) for r in jo.event_handlers(jo.ui_entry_points(e, d), e, d).collect()} == {("r", "h", 0.5), ("CheckoutScreen", "h", 0.8)}
+    # one handler is one journey, of the surest entry; the call chain begins at the handler
+    (row,) = jo.journeys(e, d).collect()
+    assert (row.entry, row.root, row.name, row.feature, row.n_steps, row.chain) == ("r", "h", "/checkout → onPressed", "checkout", 3, "h>o>u")
+    assert row.confidence == round(min(1, (1 + 0.85 + 0.7225) / 3 + 0.15 * 3 / 8), 6)
     assert jo.journeys(e.limit(0), d).count() == 0 and jo.journeys(e, d.limit(0)).count() == 0
+    assert [(r.pos, r.name, r.step_type) for r in jo.steps(jo.journeys(e, d), e, d).orderBy("pos").collect()] == [(0, "onPressed", "handler"), (1, "processOrder", "service_call"), (2, "setState", "state_update")]
+
+
+def test_near_duplicate_journeys(spark):
+    rows = [(f"h{i:02}", sorted(R.sample("abcdefgh", R.randint(3, 7))), round(R.random(), 3)) for i in range(40)]
+    j = spark.createDataFrame([(a, n, (-c, 0.0, 0, 0, a)) for a, n, c in rows], "root string, nodes array<string>, rank struct<a:double,b:double,c:long,d:long,e:string>")
+    left = []
+    for a, n, c in sorted(rows, key=lambda r: (-r[2], r[0])):
+        if all(len(set(n) & set(m)) <= 0.7 * len(set(n) | set(m)) for _, m in left):
+            left.append((a, n))
+    assert {r.root for r in jo.drop_near_duplicates(j).collect()} == {a for a, _ in left} and 1 < len(left) < 40
+
+
+def test_communities(spark):
+    """Two cliques and a bridge, and merges that agree with modularity counted anew."""
+    pairs = [(a, b) for g_ in ("abcd", "wxyz") for a in g_ for b in g_ if a < b] + [("d", "w")]
+    simple = spark.createDataFrame(pairs, "source string, target string")
+    got = t.greedy_modularity(simple)
+    assert {(r.id, r.community, r.size) for r in got.collect()} == {(x, "a", 4) for x in "abcd"} | {(x, "w", 4) for x in "wxyz"}
+    assert abs(t.modularity(simple, got) - (12 / 13 - 0.5)) < 1e-9
+    nodes = spark.createDataFrame([(x,) for x in "abcdwxyz"], "id string")
+    assert t.label_propagation(simple, nodes).count() == 8
+    assert t.greedy_modularity(simple.limit(0)).count() == 0
+
+
+def test_path_ends(spark):
+    edges = spark.createDataFrame([("lib/a.x", "lib/b.x", "imports", 1), ("lib/b.x", "lib/c.x", "imports", 2), ("lib/a.x", "lib/c.x", "imports", 3)], "source string, target string, type string, seq long")
+    ent = spark.createDataFrame([("Alpha", "Alpha", "lib/a.x", 1), ("Gamma", "Gamma", "lib/c.x", 2)], "id string, name string, file string, seq long")
+    assert [r.path for r in g.paths_between(edges, ent, "alpha", "gamma").collect()] == ["lib/a.x>lib/c.x", "lib/a.x>lib/b.x>lib/c.x"]
+    assert [r.id for r in g.nodes_like(edges, ent, "b.x").collect()] == ["lib/b.x"]
+    assert g.paths_between(edges, ent, "nowhere", "gamma").count() == 0
