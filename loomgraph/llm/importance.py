@@ -2,10 +2,10 @@
 
 Two bag-of-n-grams models over hashed words and word pairs are counted: the raw one over
 every document, the target one over labelled documents of high quality. A document's log
-importance weight is the mean log ratio of the two over its n-grams, times the square
-root of their number up to a bound: a sum's noise grows so, and a long text must not win
-or lose on length alone. With Gumbel noise from the document's own hash added, the k
-largest keys are a sample of k documents without replacement, drawn by weight.
+importance weight is the log ratio of the two models' likelihoods of its text: the sum
+over all its n-grams, whatever their number. With Gumbel noise from the document's own
+hash added, the k largest keys are a sample of k documents without replacement, drawn by
+weight.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from .common import Table, kth_largest
 from .shingles import mix, pair_hashes, slices, word_hashes
 
 BUCKETS = 1 << 16
-MAX_ROOT = 32.0
 
 
 def buckets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,9 +40,7 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 def log_weights(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
     """Log importance weight of each text of a large_string array; 0 without words."""
     k, owner = buckets_of(texts)
-    n = np.bincount(owner, minlength=len(texts))
-    mean = np.bincount(owner, ratio[k], len(texts)) / np.maximum(n, 1)
-    return mean * np.minimum(np.sqrt(n), MAX_ROOT)
+    return np.bincount(owner, ratio[k], len(texts)).astype(np.float64)
 
 
 def _ordered(x: np.ndarray) -> np.ndarray:
@@ -52,6 +49,13 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return np.where(b < 0, b ^ np.int64((1 << 63) - 1), b)
 
 
+def good_share(labels: DataFrame) -> float:
+    """The share of quality 1 among labelled documents, one of several labels counting by its worst; 1 without labels."""
+    told = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    r = told.agg(F.avg((F.col("q") == 1).cast("double"))).first()[0]
+    return 1.0 if r is None else float(r)
+
+
 def learn_ratio(docs: DataFrame, labels: DataFrame, max_target: int = 20_000) -> np.ndarray:
     """The log ratio of each bucket. Raw counts cover all documents.
 
@@ -83,9 +87,12 @@ def learn_ratio(docs: DataFrame, labels: DataFrame, max_target: int = 20_000) ->
     return log_ratio(raw, target)
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float = 0.87, seed: int = 1) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 1) -> DataFrame:
     """doc_id, log_weight, gumbel_key and kept of every row of docs; round(keep * rows) rows are kept.
 
+    keep is the share to draw; where none is given, the share of good documents among the
+    labelled ones, so that the sample is as large as the target's part of the corpus.
+
     docs: doc_id and text; labels: doc_id, quality and perhaps toxic; other columns are not
     read. Null and empty texts weigh 1 (log weight 0). The noise is a hash of doc_id, text
     and seed, so reruns agree; repeated rows have equal keys, and rows that tie with the
@@ -104,6 +111,6 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = 0.87, seed: int =
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     scored = Table(d.mapInArrow(run, "doc_id long, log_weight double, gumbel_key double, place long"), "importance")
     n = scored.df.count()
-    k = round(keep * n)
+    k = round((good_share(labels) if keep is None else keep) * n)
     cut = kth_largest(lambda: scored.df, "place", k) if k > 0 else (1 << 63) - 1
     return scored.df.select("doc_id", "log_weight", "gumbel_key", (F.col("place") >= cut).alias("kept"))

@@ -270,13 +270,16 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_chars: i
     """Fits on at most max_docs documents of either label outside the held-out fold.
 
     The documents are those whose ids' hashes come first; texts above max_chars are not
-    learnt from. A doc_id labelled twice is toxic if any label says so; null labels don't
-    count. This bounded sample of labelled rows is fitted in one task.
+    learnt from, and of several texts of one id only the first in order, so that the sample
+    is bounded by rows. A doc_id labelled twice is toxic if any label says so; null labels
+    don't count. This bounded sample of labelled rows is fitted in one task.
     """
     told = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("toxic").cast("int").alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("k"))).groupBy("k").agg(F.max("t").alias("t"))
     pick = [told.where(F.col("t") == v).orderBy(F.xxhash64("k"), "k").limit(max_docs) for v in (0, 1)]
     few = pick[0].unionByName(pick[1])
     d = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
+    sample = d.join(F.broadcast(few), "k").groupBy("k", "t").agg(F.min("text").alias("text"))
+
     def run(batches):
         rows = sorted((((k * 2654435761) % (1 << 32), k, x, t) for b in batches for k, x, t in zip(*(b.column(c).to_pylist() for c in ("k", "text", "t")))))
         m = fit([r[2] for r in rows], [r[3] for r in rows])
@@ -284,7 +287,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_chars: i
         yield pa.RecordBatch.from_arrays([pa.array([on.tolist()]), pa.array([m.weights[on].astype(float).tolist()]), pa.array([m.bias]), pa.array([m.doc.tolist()])], ["on", "weights", "bias", "doc"])
 
     # one task, as the sample is bounded; the driver only gets the weights
-    r = d.join(F.broadcast(few), "k").repartition(1).mapInArrow(run, "on array<long>, weights array<double>, bias double, doc array<double>").first()
+    r = sample.repartition(1).mapInArrow(run, "on array<long>, weights array<double>, bias double, doc array<double>").first()
     if r is None:
         return fit([], [])
     weights = np.zeros(SIZE, np.float32)

@@ -27,7 +27,7 @@ def test_weights_equal_plain_python(spark):
     for i, t in enumerate(texts):
         own = k[owner == i]
         assert len(own) == 2 * len(t.split()) - 1
-        assert math.isclose(got[i], ratio[own].mean() * min(32, len(own) ** 0.5), rel_tol=1e-9)
+        assert math.isclose(got[i], sum(ratio[b] for b in own), rel_tol=1e-9)
 
 
 def test_held_out_documents(spark):
@@ -55,5 +55,37 @@ def test_odd_rows(spark, sf_dir):
     assert len(got) == 6 and all(r.kept for r in got) and {r.log_weight for r in got if r.doc_id in (1, 2)} == {0.0}
     assert {r.log_weight for r in resample(docs, labels.limit(0)).collect()} == {0.0}
     assert resample(docs.limit(0), labels).count() == 0
-    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    assert op5_importance_resampling(spark, sf_dir).where("kept").count() == round(0.87 * n)
+
+
+def test_length_counts():
+    """A hundred times a text weighs a hundred times its sum and more, without a bound."""
+    ratio = np.linspace(-1, 1, BUCKETS)
+    one, many = log_weights(pa.array(["alpha beta gamma", " ".join(["alpha beta gamma"] * 5000)], pa.large_string()), ratio)
+    k, _ = buckets_of(pa.array(["gamma alpha"], pa.large_string()))
+    assert math.isclose(many, 5000 * one + 4999 * ratio[k[-1]], rel_tol=1e-9)
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    """Counts, weights, noise and cut from plain Python over the tables."""
+    got = op5_importance_resampling(spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "xxhash64(1, doc_id, text) AS h").collect()
+    quality, toxic = {}, {}
+    for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect():
+        quality[r.doc_id] = min(r.quality, quality.get(r.doc_id, 1))
+        toxic[r.doc_id] = max(r.toxic or 0, toxic.get(r.doc_id, 0))
+    raw, target, own = np.zeros(BUCKETS), np.zeros(BUCKETS), {}
+    for r in docs:
+        k, _ = buckets_of(pa.array([r.text or ""], pa.large_string()))
+        own[r.doc_id, r.h] = k
+        np.add.at(raw, k, 1)
+        if quality.get(r.doc_id) == 1 and not toxic[r.doc_id]:
+            np.add.at(target, k, 1)
+    ratio = log_ratio(raw, target)
+    key = {}
+    for (d, h), k in own.items():
+        u = (((h + (1 << 64)) % (1 << 64) >> 11) + 0.5) / (1 << 53)
+        key[d] = ratio[k].sum() - math.log(-math.log(u))
+    n = round(len(docs) * sum(q == 1 for q in quality.values()) / len(quality))
+    kept = set(sorted(key, key=lambda d: -key[d])[:n])
+    assert len(got) == len(docs) and all(math.isclose(r.gumbel_key, key[r.doc_id], rel_tol=1e-9, abs_tol=1e-9) for r in got)
+    assert {r.doc_id for r in got if r.kept} == kept and 0 < n < len(docs)

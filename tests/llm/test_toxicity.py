@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from loomgraph.llm.q_toxicity import op10_string_kernel_toxicity
 from loomgraph.llm.toxicity import _gram, _sparse, fit, held_out, learn, score_table, score_words, without_toxic
 
 R = random.Random(11)
@@ -64,6 +65,24 @@ def test_tables(spark):
     assert score_table(docs.limit(0), MODEL).count() == 0
 
 
+def test_query_on_the_tables(spark):
+    """Held-out precision and recall over the given labels, of the query as it is."""
+    sf = "/root/testdata/sf0.1"  # smaller tables have a handful of labels
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r.predicted, toxic[r.doc_id]) for r in op10_string_kernel_toxicity(spark, sf).collect() if r.held_out and r.doc_id in toxic]
+    hits = sum(p and y for p, y in rows)
+    # 89 of 97 found and 18 clean ones taken for toxic, when this was written
+    assert len(rows) > 500 and hits >= 0.85 * sum(y for _, y in rows) and hits >= 0.75 * sum(p for p, _ in rows)
+
+
+def test_many_rows_of_one_id(spark):
+    """The sample is bounded by rows, whatever rows an id has, and their order doesn't matter."""
+    docs = spark.createDataFrame([(i, t) for i, t, _ in ROWS[:300]] + [(3, f"other text {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in ROWS[:300]], "doc_id long, toxic int")
+    a, b = learn(docs, labels), learn(docs.repartition(5), labels)
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
+
+
 def test_held_out_rows_are_never_learnt(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in ROWS[:200]], "doc_id long, text string")
     assert docs.where(~held_out(docs.doc_id)).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200))
