@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .functions.paths import module_key
 from .operators import graph as g
 from .operators import instructions, journeys, prompts, runtime, startup, stateflow, traverse
-from .operators.extract import build, config_facts, is_source
+from .operators.extract import build, config_entities, config_facts, is_source, project_info
 from .operators.incremental import changed_files, file_hashes
-from .sources import sinks
+from .sources import reports, sinks
 from .sources.documents import read_behavior, read_graph
 from .sources.files import scan
 from .sources.scratch import materialize
@@ -20,15 +20,18 @@ class Engine:
     """Facts of a source tree, of a graph document, or of tables; each answer is a DataFrame."""
 
     def __init__(self, spark: SparkSession, entities: DataFrame, edges: DataFrame, files: DataFrame | None = None, behavior: dict[str, DataFrame] | None = None):
-        self.spark, self.files, self.facts = spark, files, behavior or {}
+        self.spark, self.files, self.facts, self.info = spark, files, behavior or {}, None
         self.entities, self.edges = materialize(g.merge_entities(entities), "entities"), materialize(edges, "edges")
         self.simple = materialize(g.simple_edges(self.edges, self.entities), "simple")
 
     @classmethod
-    def scan(cls, spark: SparkSession, root: str, behavior: str | None = None) -> Engine:
-        files = materialize(scan(spark, root), "files")
+    def scan(cls, spark: SparkSession, root: str, behavior: str | None = None, dirs=(), ignore=()) -> Engine:
+        files = materialize(scan(spark, root, ignore, dirs), "files")
+        facts = materialize(config_facts(files), "configs")
         ent, edges = build(files.where(is_source(files["path"])))
-        return cls(spark, ent, edges, files, read_behavior(spark, behavior) if behavior else None)
+        e = cls(spark, ent.unionByName(config_entities(facts)), edges, files, read_behavior(spark, behavior) if behavior else None)
+        e.info = materialize(project_info(files, facts, root.rstrip("/").rsplit("/", 1)[-1]), "project")
+        return e
 
     @classmethod
     def load(cls, spark: SparkSession, graph: str, behavior: str | None = None) -> Engine:
@@ -41,10 +44,12 @@ class Engine:
     def surprising(self, n: int = 20): return g.surprising_links(self.simple, self.entities, n)
     def layers(self): return g.layer_violations(self.edges, self.entities)
     def naming(self): return g.naming_violations(self.entities)
-    def cycles(self): return g.import_cycles(self.edges)
+    def cycles(self, n: int | None = 10, max_len: int | None = None): return g.import_cycles(self.edges, n, max_len)
+    def tangles(self): return g.import_tangles(self.edges)
+    def query_first(self, term: str): return g.query_entities(self.entities, self.edges, term, matches=5)
     def communities(self): return traverse.label_propagation(self.simple, self.entities)
     def clusters(self): return g.file_clusters(self.entities)
-    def journeys(self): return journeys.drop_near_duplicates(journeys.journeys(self.entities, self.edges))
+    def journeys(self): return materialize(journeys.drop_near_duplicates(materialize(journeys.journeys(self.entities, self.edges), "journeys")), "journeys")
     def hashes(self): return file_hashes(self.files)
     def changed(self, before: DataFrame): return changed_files(self.hashes(), before)
     def configs(self): return config_facts(self.files)
@@ -71,10 +76,30 @@ class Engine:
     def hotspots(self): return stateflow.mutation_hotspots(self.facts["mutations"])
     def listeners(self): return stateflow.listener_pairing(self.facts["mutations"])
 
+    def runtime(self) -> dict[str, DataFrame]:
+        """Everything the runtime operators tell of the tree's source files."""
+        f = materialize(self.files.where(is_source(self.files["path"])).withColumn("seq", F.col("path")), "sources")
+        keep = lambda d: materialize(d, "runtime")
+        e, cov = keep(runtime.entry_points(f)), keep(runtime.coverage_map(f))
+        one = {k: keep(getattr(runtime, k)(f)) for k in ("env_vars", "secrets", "feature_flags", "constants", "api_urls", "config_files", "test_files", "file_naming", "class_naming", "import_style", "error_handling", "comment_style", "frameworks", "architecture")}
+        start = {k: keep(getattr(startup, k)(f)) for k in ("initializations", "framework_inits", "initial_route")}
+        return {"entry_points": e, "entry_summary": runtime.entry_summary(e), **start, **one, "coverage": cov, "coverage_summary": keep(runtime.coverage_summary(cov)), "directories": keep(runtime.directory_structure(f))}
+
+    def behavior(self) -> dict[str, DataFrame]:
+        """Everything the behavioural operators tell of the facts."""
+        f, keep = self.facts, lambda d: materialize(d, "behavior")
+        dead, hot = keep(self.dead_code()), keep(self.hot_paths())
+        files = f["calls"].select(F.substring_index("source", "::", 1).alias("f")).distinct().count()
+        return {"dead_code": dead, "hot_paths": hot, "call_depth": keep(traverse.call_depth(f["calls"])), "hotspots": keep(self.hotspots()), "listeners": keep(self.listeners()), "notify_chains": keep(stateflow.notify_chains(f["containers"], f["components"])), "lifecycle": keep(stateflow.lifecycle_summary(f["components"])), "providers": keep(stateflow.provider_deps(f["providers"])), "summary": keep(stateflow.behavior_summary(dead, hot, f["mutations"], files))}
+
     def report(self) -> str:
-        """Markdown of counts, hubs, unexpected links, clusters and module dependencies."""
-        parts = [("Counts", self.stats().orderBy("kind", F.desc("n"), "key")), ("Hubs", self.god_nodes()), ("Unexpected links", self.surprising(10)), ("Clusters", self.clusters().orderBy(F.desc("size"), "name").drop("members")), ("Module dependencies", g.module_dependencies(self.simple, self.entities))]
-        return "# Report\n\n" + "\n".join(sinks.table_md(t, d, 100) for t, d in parts)
+        """Markdown of the project, its counts, hubs, unexpected links, clusters, module dependencies and confidence."""
+        stats, clusters = materialize(self.stats(), "stats"), materialize(self.clusters(), "clusters")
+        n = {"entities": self.entities.count(), "relationships": self.edges.count(), "clusters": clusters.count()}
+        parts = [reports.project_section(self.info, n)] if self.info is not None else []
+        parts += [sinks.table_md(t, d, 100) for t, d in [("Counts", stats.orderBy("kind", F.desc("n"), "key")), ("Hubs", self.god_nodes()), ("Unexpected links", self.surprising(10))]]
+        parts += [reports.cluster_section(clusters, self.entities.select("id", "name")), sinks.table_md("Module dependencies", g.module_dependencies(self.simple, self.entities), 100), reports.confidence_section(stats)]
+        return "# Report\n\n" + "\n".join(parts)
 
     def html(self) -> str:
         key = self.entities.select("id", module_key(F.col("file")).alias("cluster"))

@@ -45,15 +45,27 @@ def append_section(report: str, title: str, text: str) -> str:
     return "\n\n".join([*keep, text.strip("\n")]) + "\n"
 
 
-def mermaid(entities: DataFrame, edges: DataFrame, max_nodes: int = 80, max_edges: int = 100) -> str:
-    """A flow chart of the first nodes in order and the edges among them."""
+def mermaid(entities: DataFrame, edges: DataFrame, max_nodes: int = 80, max_edges: int = 100, clusters: DataFrame | None = None, gods=()) -> str:
+    """A flow chart of the first nodes in order and the edges among them; clusters (id, name, members joined) are boxes, gods are starred."""
     nodes = entities.orderBy("seq").limit(max_nodes)
     rows = nodes.select("id", "name", "type").collect()
     key = {r.id: f"N{i}" for i, r in enumerate(rows, 1)}
     ids = F.broadcast(nodes.select("id"))
     e = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").orderBy("seq").limit(max_edges).collect()
     clean = lambda s: str(s).replace('"', "'").replace("[", "(").replace("]", ")")
-    out = ["graph TB"] + [f'  {key[r.id]}["{clean(r.name)}"]:::{r.type}' for r in rows] + [f"  {key[x.source]} -->|{x.type}| {key[x.target]}" for x in e]
+    draw = lambda r, pad: f'{pad}{key[r.id]}["{clean(r.name)}{" *" if r.id in gods else ""}"]:::{r.type}'
+    box: dict[str, tuple[str, list]] = {}
+    if clusters is not None:
+        inside = clusters.select("id", "name", F.explode(F.split("members", ",")).alias("m")).join(ids.withColumnRenamed("id", "m"), "m", "left_semi").collect()
+        own = {x.m: x for x in inside}
+        for r in rows:
+            if r.id in own:
+                box.setdefault(own[r.id].id, (own[r.id].name, []))[1].append(r)
+    boxed = {r.id for _, some in box.values() for r in some}
+    out = ["graph TB"]
+    for i, (name, some) in enumerate(box.values()):
+        out += [f'  subgraph C{i}["{clean(name)}"]', *[draw(r, "    ") for r in some], "  end"]
+    out += [draw(r, "  ") for r in rows if r.id not in boxed] + [f'  {key[x.source]} -->|"{clean(x.type)}"| {key[x.target]}' for x in e]
     return "\n".join(out + [f"  classDef {k} fill:{c}" for k, c in CLASSES.items()]) + "\n"
 
 

@@ -40,7 +40,7 @@ def test_scan_and_build(spark, tmp_path):
     top = g.hubs(g.simple_edges(edges, merged), merged).first()
     assert (top.id, top.connections) == ("src/utils.py", 2) or top.id == "A"
     facts = {r.path: r for r in config_facts(all_).collect()}
-    assert facts["pyproject.toml"].name == "demo" and facts["package.json"].dependencies == "jest,react"
+    assert facts["pyproject.toml"].name == "demo" and (facts["package.json"].dependencies, facts["package.json"].dev_dependencies) == ("react", "jest")
 
 
 def test_dart():
