@@ -9,7 +9,8 @@ import pytest
 from loomgraph.plans import registry
 from loomgraph.sources.adapters import TABLES
 
-HEAVY = {"redundancy_clusters", "redundancy_dedupe"}
+#: Nothing to find in the smallest tables; they have rows in larger ones.
+SPARSE = {"topic_collisions"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +26,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) and math.isfinite(v) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - HEAVY))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
@@ -37,3 +38,4 @@ def test_query(spark, duck, sf_dir, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
     assert got == Counter(tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall())
+    assert got or name in SPARSE
