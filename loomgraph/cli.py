@@ -13,20 +13,27 @@ OUTPUT = ".loomgraph"
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loomgraph", description="Knowledge graph, runtime, behaviour and instruction analysis of a source tree, on Spark.")
-    p.add_argument("target", nargs="?", default=".", help="a folder in the tree")
-    p.add_argument("--output", default=OUTPUT, help=f"folder below the tree's root (default: {OUTPUT})")
-    p.add_argument("--scan-dirs", nargs="*", default=[], help="only these folders")
-    p.add_argument("--ignore", nargs="*", default=[], help="more patterns to ignore")
-    p.add_argument("--refresh", action="store_true", help="scan again though there is a graph")
-    for name in ("json", "report", "html", "mermaid"):
-        p.add_argument(f"--{name}", action="store_true", help=f"print the {name} output")
-    p.add_argument("--query", metavar="TERM", help="entities like TERM and their relationships")
-    p.add_argument("--path", nargs=2, metavar=("FROM", "TO"), help="shortest paths between entities")
-    p.add_argument("--analyze-prompts", action="store_true", help="redundancies between instructions")
-    p.add_argument("--prompt-file", metavar="FILE", help="the same, of one file")
-    p.add_argument("--runtime-analysis", action="store_true", help="entry points, configuration, tests and conventions")
-    p.add_argument("--behavioral", metavar="FACTS", help="dead code, hot paths and state flow of a JSON document of facts")
-    p.add_argument("--journeys", action="store_true", help="user journeys")
+    switches = {
+        "refresh": "scan again though there is a graph",
+        "journeys": "user journeys",
+        "analyze-prompts": "redundancies between instructions",
+        "runtime-analysis": "entry points, configuration, tests and conventions",
+        **{name: f"print the {name} output" for name in ("html", "json", "mermaid", "report")},
+    }
+    options = {
+        "behavioral": ("FACTS", "dead code, hot paths and state flow of a JSON document of facts"),
+        "prompt-file": ("FILE", "redundancies within one file"),
+        "query": ("TERM", "entities like TERM and their relationships"),
+    }
+    p.add_argument("target", help="a folder in the tree", default=".", nargs="?")
+    p.add_argument("--output", help=f"folder below the tree's root (default: {OUTPUT})", default=OUTPUT)
+    for name, text in switches.items():
+        p.add_argument(f"--{name}", help=text, action="store_true")
+    for name, (value, text) in options.items():
+        p.add_argument(f"--{name}", help=text, metavar=value)
+    for name, text in {"ignore": "more patterns to ignore", "scan-dirs": "only these folders"}.items():
+        p.add_argument(f"--{name}", help=text, nargs="*", default=[])
+    p.add_argument("--path", help="shortest paths between entities", metavar=("FROM", "TO"), nargs=2)
     return p
 
 

@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from ..sources.scratch import materialize
 
 MAX_DEPTH, DECAY, PRUNE, MIN_STEPS, MIN_CONF, SAME = 8, 0.85, 0.2, 3, 0.3, 0.7
-HANDLER = r"^_?on[A-Z]\w*|^handle[A-Z]\w*|^(?i:tap|click|submit|press|change|input|scroll|swipe)\w*"
-STATE = ("setstate", "notifylisteners", "emit", "update", "markneedsbuild", "setstateasync", "addlistener")
+HANDLER = r"^_?on[A-Z]\w*|^handle[A-Z]\w*|^(?i:change|click|input|press|scroll|submit|swipe|tap)\w*"
+STATE = ("addlistener", "emit", "markneedsbuild", "notifylisteners", "setstate", "setstateasync", "update")
 STEP_TYPES = 8
 
 
@@ -54,7 +54,7 @@ def step_type(name: Column, type_: Column, file: Column, routes: Column) -> Colu
         .when(name.rlike(HANDLER), "handler")
         .when(n.isin(*STATE) | n.rlike(r"set\s*state|notify\s*listeners|\.emit\("), "state_update")
         .when(n.rlike("navigate|redirect|push|pop|replace|goto|route") | routes, "navigation")
-        .when(n.rlike("save|create|update|delete|find|query|fetch|load|store|insert") & f.rlike("repository|dao|model|table|database|db|drift|supabase|firebase"), "data_operation")
+        .when(n.rlike("create|delete|fetch|find|insert|load|query|save|store|update") & f.rlike("dao|database|db|drift|firebase|model|repository|supabase|table"), "data_operation")
         .when(n.rlike("api|http|request|fetch|dio|axios|client"), "api_call")
         .otherwise("service_call")
     )
@@ -68,7 +68,7 @@ def classify(entities: DataFrame, edges: DataFrame) -> DataFrame:
 def feature_of(entry: Column, file: Column) -> Column:
     """The entry's id without its kind, else the stem of the last telling part of its path, else General."""
     kind = "(Screen|Page|View|Widget|Component)$"
-    telling = F.filter(F.split(file, "/"), lambda p: ~p.isin("lib", "src", "app", "apps", "packages", ""))
+    telling = F.filter(F.split(file, "/"), lambda p: ~p.isin("", "app", "apps", "lib", "packages", "src"))
     part = F.element_at(telling, -1)
     return F.when(entry.rlike(kind), F.regexp_extract(entry, f"^(.*){kind}", 1)).when(F.size(telling) > 0, F.regexp_replace(part, r"(?<=.)\.[^.]*$", "")).otherwise("General")
 

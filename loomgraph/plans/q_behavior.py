@@ -161,15 +161,15 @@ _J = f"""WITH RECURSIVE ent AS ({ENT}), edges AS ({FN}), entries AS (
     CASE WHEN id IN (SELECT target FROM edges WHERE type = 'routes_to') THEN 0.8 ELSE 0.0 END)::DOUBLE AS confidence FROM ent) WHERE confidence > 0
 ), adj AS (SELECT DISTINCT source, target FROM edges WHERE type IN ('calls', 'routes_to') AND target IN (SELECT id FROM ent)
 ), pairs AS (SELECT e.id AS entry, e.name AS entry_name, e.file, h.id AS root, h.name AS handler_name, row_number() OVER (PARTITION BY h.id ORDER BY e.confidence DESC, e.seq) AS k, e.confidence AS score, e.seq AS entry_seq, h.seq AS handler_seq
-    FROM entries e JOIN ent h ON h.file = e.file AND h.id <> e.id AND h.type = 'function' AND regexp_matches(h.name, '^on[A-Z]|^handle[A-Z]|^_on[A-Z]|^(?i:tap|click|submit|press|change|input|scroll|swipe)')
+    FROM entries e JOIN ent h ON h.file = e.file AND h.id <> e.id AND h.type = 'function' AND regexp_matches(h.name, '^on[A-Z]|^handle[A-Z]|^_on[A-Z]|^(?i:change|click|input|press|scroll|submit|swipe|tap)')
   ), starts AS (SELECT * FROM pairs WHERE k = 1
   ), walk(root, id, depth) AS (SELECT root, root, 0 FROM starts UNION SELECT root, target, depth + 1 FROM walk JOIN adj ON source = id WHERE depth < 8
 ), trace AS (SELECT root, id, CAST(min(depth) AS BIGINT) AS depth, round(power(0.85, min(depth)), 9) AS confidence FROM walk GROUP BY root, id
 ), cls AS (SELECT id, name, seq, CASE WHEN type = 'route' THEN 'ui_entry' WHEN regexp_matches(lower(name), 'screen|page|view|widget|component') THEN 'ui_entry'
-    WHEN regexp_matches(name, '^_?on[A-Z]|^handle[A-Z]|^(?i:tap|click|submit|press|change|input|scroll|swipe)') THEN 'handler'
+    WHEN regexp_matches(name, '^_?on[A-Z]|^handle[A-Z]|^(?i:change|click|input|press|scroll|submit|swipe|tap)') THEN 'handler'
     WHEN lower(name) IN ('setstate', 'notifylisteners', 'emit', 'update', 'markneedsbuild', 'setstateasync', 'addlistener') OR regexp_matches(lower(name), 'set\\s*state|notify\\s*listeners|\\.emit\\(') THEN 'state_update'
     WHEN regexp_matches(lower(name), 'navigate|redirect|push|pop|replace|goto|route') OR id IN (SELECT source FROM edges WHERE type = 'routes_to') THEN 'navigation'
-    WHEN regexp_matches(lower(name), 'save|create|update|delete|find|query|fetch|load|store|insert') AND regexp_matches(lower(file), 'repository|dao|model|table|database|db|drift|supabase|firebase') THEN 'data_operation'
+    WHEN regexp_matches(lower(name), 'create|delete|fetch|find|insert|load|query|save|store|update') AND regexp_matches(lower(file), 'dao|database|db|drift|firebase|model|repository|supabase|table') THEN 'data_operation'
     WHEN regexp_matches(lower(name), 'api|http|request|fetch|dio|axios|client') THEN 'api_call' ELSE 'service_call' END AS step_type FROM ent
 ), jj AS (SELECT root, count(*) AS n_steps, count(DISTINCT step_type) AS n_types, avg(confidence) AS mean, string_agg(id, '>' ORDER BY depth, seq, id) AS chain, string_agg(DISTINCT step_type, ',' ORDER BY step_type) AS types FROM trace JOIN cls USING (id) GROUP BY root
 ), jk AS (SELECT *, round(least(1.0, mean * least(n_steps / 3, 1.0) + 0.15 * n_types / 8), 6) AS confidence FROM jj
@@ -194,7 +194,7 @@ ORACLE_SQL = {
     "mutation_hotspots": f"{_M}, {_HOT} SELECT * FROM hot",
     "listener_pairing": f"{_M}, {_PAIR} SELECT * FROM pair",
     "notify_chains": f"SELECT name, (SELECT string_agg(name, ',' ORDER BY seq) FROM (SELECT * FROM ({COMP}) WHERE list_has_any(string_split(hooks, ','), ['initState', 'componentDidMount', 'ngOnInit', 'useEffect']) ORDER BY seq LIMIT 5)) AS listeners FROM ({CONT})",
-    "lifecycle_summary": "SELECT count(*) AS total_components, " + ", ".join(f"count(*) FILTER (list_has_any(string_split(hooks, ','), {hooks})) AS with_{k}" for k, hooks in {"init": ["initState", "componentDidMount", "ngOnInit", "mounted", "useEffect"], "dispose": ["dispose", "componentWillUnmount", "ngOnDestroy", "cleanup", "unmounted"], "update": ["didUpdateWidget", "componentDidUpdate", "ngOnChanges", "shouldComponentUpdate"], "build": ["build", "render", "template", "view"], "state_change": ["setState", "forceUpdate", "markNeedsBuild", "scheduleRebuild"]}.items()) + f" FROM ({COMP})",
+    "lifecycle_summary": "SELECT count(*) AS total_components, " + ", ".join(f"count(*) FILTER (list_has_any(string_split(hooks, ','), string_split('{hooks}', ' '))) AS with_{k}" for k, hooks in (("update", "componentDidUpdate shouldComponentUpdate ngOnChanges didUpdateWidget"), ("init", "useEffect mounted ngOnInit initState componentDidMount"), ("state_change", "scheduleRebuild setState markNeedsBuild forceUpdate"), ("dispose", "cleanup unmounted dispose ngOnDestroy componentWillUnmount"), ("build", "view template render build"))) + f" FROM ({COMP})",
     "provider_deps": PROV,
     "behavior_summary": "",
     "ui_entry_points": f"{_J} SELECT id, name, file, confidence FROM entries",

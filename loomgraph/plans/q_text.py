@@ -134,12 +134,12 @@ def _lit(s):
 
 #: A pattern between word ends, each written as RE2 reads it; ( ) at an end leaves it open.
 _TOPICS = {
-    "archetype": "archetype|dreamer|planner|survivor|builder|paper.chaser", "career": "career|employment|job|profession|work|employer|occupation|seniority|experience", "citizenship": "citizen|naturaliz|passport|national",
-    "document": "document|paperwork|certificate|transcript|assessment|evaluation|认证", "education": "education|degree|diploma|university|school|academic|credential|enrollment|graduation",
-    "family": "family|spouse|partner|children|dependents|parent|marital|household", "financial": "financial|savings|income|salary|revenue|budget|cost|funds|money|wealth|afford",
-    "inquiry": "ask|assume|inquir|question|probe|never.*skip|always.*ask|don.t.*assume", "language": "language|english|ielts|toefl|pte|proficiency|linguistic|native|fluent",
-    "pathway": "pathway|route|stream|program|category|eligibility|qualification", "risk": "risk|danger|barrier|impossib|refusal|denial|criminal|inadmiss", "settlement": "settl|integrat|adapt|community|social|network|diaspora",
-    "sovereignty": "sovereignty|independence|autonomy|self.sufficient|diversif", "timeline": "timeline|deadline|processing|wait|duration|timeframe|schedule", "visa": "visa|permit|status|immigration|migrant|passport|border|entry|overstay",
+    "archetype": "paper.chaser|builder|survivor|planner|dreamer|archetype", "career": "experience|seniority|occupation|employer|work|profession|job|employment|career", "citizenship": "national|passport|naturaliz|citizen",
+    "document": "认证|evaluation|assessment|transcript|certificate|paperwork|document", "education": "graduation|enrollment|credential|academic|school|university|diploma|degree|education",
+    "family": "household|marital|parent|dependents|children|partner|spouse|family", "financial": "afford|wealth|money|funds|cost|budget|revenue|salary|income|savings|financial",
+    "inquiry": "don.t.*assume|always.*ask|never.*skip|probe|question|inquir|assume|ask", "language": "fluent|native|linguistic|proficiency|pte|toefl|ielts|english|language",
+    "pathway": "qualification|eligibility|category|program|stream|route|pathway", "risk": "inadmiss|criminal|denial|refusal|impossib|barrier|danger|risk", "settlement": "diaspora|network|social|community|adapt|integrat|settl",
+    "sovereignty": "diversif|self.sufficient|autonomy|independence|sovereignty", "timeline": "schedule|timeframe|duration|wait|processing|deadline|timeline", "visa": "overstay|entry|border|passport|migrant|immigration|status|permit|visa",
 }
 _SCOPES = {"global": "always|never|critical|mandatory|required|universal", "in_process": "in.process|applied|waiting|application", "post_immigration": "post.immigration|settled|permanent.resident|citizen|living.abroad", "pre_immigration": "pre.immigration|exploring|planning|ready", "turn_specific": r"turn\s*\d"}
 _INTENTS = {
@@ -151,7 +151,7 @@ _INTENTS = {
     "scope": r"for\s+(pre|post|in|settled|exploring|planning|ready);when\s+(the\s+)?(user|lifecycle|status)( );if\s+(the\s+)?(user|lifecycle|pathway)( );pre-immigration|in-process|post-immigration|settled;pre_immigration|in_process|post_immigration|settled_pr;adapt to lifecycle;lifecycle-based|context-aware|contextual",
     "question": r"( )^\s*\?\s*$( );ask\s+['\"]( );question;inquire;probe",
 }
-_STOP = "the,are,was,were,been,being,have,has,had,does,did,will,would,could,should,may,might,can,shall,for,with,from,into,through,during,before,after,above,below,between,out,off,over,under,again,further,then,once,here,there,when,where,why,how,all,each,every,both,few,more,most,other,some,such,nor,not,only,own,same,than,too,very,just,because,but,and,while,that,this,these,those,its,you,your,yours,our,ours,they,their,theirs,what,which,who,whom,whose,mine,also,about,down,still,already,yet,ever,let,make,sure,must,need,use,like,want,going,get,got,take,see,know,think"
+_STOP = "yours,your,you,yet,would,with,will,why,whose,whom,who,while,which,where,when,what,were,was,want,very,use,under,too,through,those,this,think,they,these,there,then,theirs,their,the,that,than,take,sure,such,still,some,should,shall,see,same,own,over,out,ours,our,other,only,once,off,not,nor,need,must,most,more,mine,might,may,make,like,let,know,just,its,into,how,here,have,has,had,got,going,get,further,from,for,few,every,ever,each,during,down,does,did,could,can,but,both,between,below,being,before,been,because,are,and,also,already,all,again,after,above,about"
 
 
 def _hit(p):
