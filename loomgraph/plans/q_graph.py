@@ -110,7 +110,7 @@ def import_cycles(spark, sf):
 
 
 def import_tangles(spark, sf):
-    return g.import_tangles(view(spark, sf, FN).withColumn("type", F.lit("imports")))
+    return g.import_tangles(view(spark, sf, RING))
 
 
 def simple_paths(spark, sf):
@@ -120,7 +120,7 @@ def simple_paths(spark, sf):
 
 def paths_between(spark, sf):
     ent, edges, _ = _fn(spark, sf)
-    return g.paths_between(edges, ent, "p11", "p5")
+    return g.paths_between(edges, ent, "p", "p1")
 
 
 def paths_by_file(spark, sf):
@@ -203,11 +203,11 @@ ORACLE_SQL = {
       ), walk AS (SELECT s AS head, t AS tail, [s, t] AS path FROM adj WHERE t > s
         UNION ALL SELECT head, adj.t, list_append(path, adj.t) FROM walk JOIN adj ON adj.s = tail WHERE adj.t > head AND NOT list_contains(path, adj.t))
       SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS BIGINT) AS length FROM walk JOIN adj ON adj.s = tail AND adj.t = head""",
-    "import_tangles": _F + """, adj AS (SELECT DISTINCT source AS s, target AS t FROM edges WHERE source <> target), reach(a, b) AS (SELECT s, t FROM adj UNION SELECT a, t FROM reach JOIN adj ON s = b
+    "import_tangles": f"""WITH RECURSIVE adj AS (SELECT DISTINCT source AS s, target AS t FROM ({RING}) WHERE source <> target AND type = 'imports'), reach(a, b) AS (SELECT s, t FROM adj UNION SELECT a, t FROM reach JOIN adj ON s = b
       ), scc AS MATERIALIZED (SELECT x.a AS id, least(x.a, min(x.b)) AS c FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a HAVING count(*) > 1)
       SELECT c AS component, count(*) AS size, (SELECT count(*) FROM adj JOIN scc u ON u.id = s JOIN scc v ON v.id = t WHERE u.c = scc.c AND v.c = scc.c) AS edges FROM scc GROUP BY c""",
     "simple_paths": _F + _WALKS.format("(VALUES ('P1'), ('P3'), ('P9'), ('P17'), ('P33')) v(id)", "(VALUES ('P20'), ('P77'), ('P110'), ('P12'), ('P58')) v(id)", 8, "simple") + " SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS BIGINT) AS hops FROM hit",
-    "paths_between": _F + _LIKE.format("a", "p11", "edges") + _LIKE.format("b", "p5", "edges") + _WALKS.format("a", "b", 8, "edges") + _SHORTEST,
+    "paths_between": _F + _LIKE.format("a", "p", "edges") + _LIKE.format("b", "p1", "edges") + _WALKS.format("a", "b", 8, "edges") + _SHORTEST,
     "paths_by_file": _F + ", by_ AS (SELECT a.file AS source, b.file AS target, e.seq FROM edges e JOIN ent a ON a.id = e.source JOIN ent b ON b.id = e.target)" + _NAMED.format("a", "item1") + _NAMED.format("b", "setstate") + _WALKS.format("a", "b", 4, "by_") + _SHORTEST,
     "entity_query_first": _F + """, hit AS (SELECT id, name FROM ent WHERE contains(lower(id), 'service') OR contains(lower(name), 'service') ORDER BY seq LIMIT 5
       ), near AS (SELECT id, name, 'out' AS direction, target AS other, type, seq FROM edges JOIN hit ON source = id UNION ALL SELECT id, name, 'in', source, type, seq FROM edges JOIN hit ON target = id)
