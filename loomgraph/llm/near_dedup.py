@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Table, without_ids
+from .common import Table, release, without_ids
 from .components import components
 from .shingles import mix, pair_hashes, pair_sets, slices, word_hashes
 
@@ -86,6 +86,7 @@ def _features(batches):
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             columns = [keys.slice(at, m), pa.array(n, pa.int64()), longs(s1), longs(s2), lists(band, BANDS), lists(sketch, BITS // 64)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
+    release()
 
 
 def _verify(group: pa.Table) -> pa.Table:

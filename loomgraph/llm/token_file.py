@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Table, scratch_path
+from .common import Table, release, scratch_path
 
 MAGIC = b"LGEF1\0\0\0"
 SAMPLE = 256
 #: Bytes of text that are encoded at a time.
-SLICE = 12_000_000
+SLICE = 6_000_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: Other white space: texts with it are encoded whole, as a cut beside it could change a piece.
@@ -334,6 +334,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
                     doc_ids, lens, pieces, held, k = [], [], [], 0, k + 1
         if doc_ids:
             yield flush()
+        doc_ids, lens, pieces = [], [], []
+        release()
 
     return parts.mapInArrow(run, "part long, k long, path string, n_docs long, n_tokens long")
 

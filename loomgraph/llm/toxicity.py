@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
 from .shingles import slices
 
 A = 64
@@ -302,6 +303,7 @@ def score_table(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             s = model.score(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        release()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -313,5 +315,6 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for b in batches:
             yield b.filter(pa.array(model.score(b.column("text")) < 0.5))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
