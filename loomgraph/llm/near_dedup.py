@@ -9,23 +9,24 @@ is high. A pair of a band is confirmed on the full sets only if that estimate le
 a chance: the margin is five standard deviations of estimate and sampling together
 (0.048 at a similarity of 0.6, less above).
 
-No band's members are paired with each other. In each round the members of a band are
-compared with a few leaders; those that link to a leader leave. The Jaccard distance is
-a metric: whoever is farther than 2 * (1 - threshold) from a leader cannot link to any
-member linked to it. So only members between once and twice the linking distance are
-later compared with the leader's members, and of these only those of another component
-whose distances leave a link possible. No link between documents that share a band is
-lost to this; with 32 bands of 4 a pair at the threshold shares none with a probability
-below 1e-7.
+Documents that bands connect, directly or over others, are a group that no link leaves.
+The texts of a group go to one task, once, and there each band's pairs are compared, but
+for those that links connect already: a row of numpy at a time, first by sizes and
+sketches, then by the full sets. A group that is too large for a task is taken band by
+band instead. There each member is compared with its band's smallest one first; what
+then is left are bands whose members are in several components, and of these the pairs
+with at least one member outside the largest one, in blocks of a bounded size. No link
+between documents that share a band is lost to this; with 32 bands of 4 a pair at the
+threshold shares none with a probability below 1e-7.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Table, release, without_ids
 from .components import components
@@ -40,11 +41,10 @@ _I = np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: Of a group that is verified in one task: members, and shingles of all of them.
 CHUNK, CHUNK_SHINGLES = 64, 2_000_000
 MARGIN = 5 * 0.048
-SALTS = 8
 #: Classes of so many rows and more are joined by broadcast; there are at most rows / HOT_ROWS of them.
 HOT_ROWS = 10_000
-#: Leaders of a band in a round: 1, 8, 64 and then so many.
-MAX_LEADERS = 256
+#: Of a unit that is compared in one task, on either side: bytes of text and rows; and bytes of text of the units that go to a task together.
+UNIT_BYTES, UNIT_ROWS, BUCKET_BYTES = 4_000_000, 8192, 2_000_000
 BROADCAST_ROWS = 200_000
 FEATURES = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
 
@@ -110,8 +110,99 @@ def _verify(group: pa.Table) -> pa.Table:
     return pa.table({"l": pa.array([l] * len(best), pa.int64()), "c": pa.array(list(best), pa.int64()), "inter": pa.array([v[0] for v in best.values()], pa.int64()), "uni": pa.array([v[1] for v in best.values()], pa.int64())})
 
 
-def _salted(d: DataFrame) -> DataFrame:
-    return d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+class _Sets:
+    """Shingle sets of some rows, and what of them is linked."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        sets: list = []
+        for _, texts in slices(rows.column("text").combine_chunks()):
+            sets += pair_sets(texts)
+        self.percent = percent
+        self.n = np.array([len(s) for s in sets], np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        distinct, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(distinct), np.int64)
+        column = lambda name: rows.column(name).combine_chunks()
+        self.c, self.lab = (column(x).to_numpy() for x in ("c", "lab"))
+        self.left, self.right, self.other = (column(x).to_numpy(zero_copy_only=False) for x in ("left", "right", "other"))
+        self.keys = column("keys")
+        sketch = column("sketch")
+        self.known = sketch.is_valid().to_numpy(zero_copy_only=False)
+        self.sketch = np.zeros((len(self.n), BITS // 64), np.uint64)
+        self.sketch[self.known] = sketch.drop_null().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+        #: bits in which the sketches of a pair may differ that has a chance
+        self.bits = BITS / 2 * (1 - np.exp(-4 * K * (1 - percent / 100 + MARGIN) / BITS))
+
+    def linked_to(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Which of the rows y are linked to row x; sets that are empty are in neither."""
+        n = self.n
+        y = y[100 * np.minimum(n[x], n[y]) >= self.percent * np.maximum(n[x], n[y])]
+        if self.known[x] and len(y):
+            y = y[(np.bitwise_count(self.sketch[y] ^ self.sketch[x]).sum(axis=1) <= self.bits) | ~self.known[y]]
+        if not len(y):
+            return y
+        k = n[y]
+        ends = np.cumsum(k)
+        own = self.codes[self.start[x] : self.start[x] + n[x]]
+        self.mark[own] = 1
+        inter = np.add.reduceat(self.mark[self.codes[np.repeat(self.start[y] - (ends - k), k) + np.arange(ends[-1])]], ends - k)
+        self.mark[own] = 0
+        return y[100 * inter >= self.percent * (n[x] + k - inter)]
+
+    def unit(self, a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+        """(label, smallest label linked to it) of those labels of the rows a to z - 1 that aren't the smallest themselves."""
+        labels, root = np.unique(self.lab[a:z], return_inverse=True)
+        keys = self.keys.slice(a, z - a)
+        row = np.repeat(np.arange(a, z), keys.value_lengths().to_numpy())
+        key = keys.flatten().to_numpy()
+        order = np.lexsort((row, key))
+        row, key = row[order], key[order]
+        seen = set()
+        for band in np.split(row, np.flatnonzero(key[1:] != key[:-1]) + 1):
+            if (same := band.tobytes()) in seen:
+                continue
+            seen.add(same)
+            band = band[self.n[band] > 0]
+            to = band[self.right[band]]
+            for x in band[self.left[band]]:
+                y = to[root[to - a] != root[x - a]]
+                if not len(y):
+                    if (root[band - a] == root[x - a]).all():
+                        break
+                    continue
+                hit = self.linked_to(x, y[~self.other[y] | (self.c[y] > self.c[x])])
+                if len(hit):
+                    new = np.unique(np.append(root[hit - a], root[x - a]))
+                    root[np.isin(root, new)] = new[0]
+        best = np.zeros(len(labels), np.int64)
+        best[np.searchsorted(labels, self.lab[a:z])] = root
+        moved = best != np.arange(len(labels))
+        return labels[moved], labels[best[moved]]
+
+
+def _link(group: pa.Table, percent: int) -> pa.Table:
+    """u, v, wide: the links of units, as label and smallest label; a unit is what agrees in key, i and j."""
+    group = group.sort_by([(x, "ascending") for x in ("key", "i", "j", "c")]).combine_chunks()
+    key = np.stack([group.column(x).to_numpy() for x in ("key", "i", "j")])
+    bounds = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [group.num_rows]])
+    cum = np.concatenate([[0], np.cumsum(np.array(pc.fill_null(pc.binary_length(group.column("text")), 0), np.int64))])[bounds]
+    u, v, wide, at = [], [], [], 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(cum, cum[at] + UNIT_BYTES, side="right")) - 1)
+        sets = _Sets(group.slice(bounds[at], bounds[to] - bounds[at]), percent)
+        for a, z in zip(bounds[at:to], bounds[at + 1 : to + 1]):
+            x, y = sets.unit(a - bounds[at], z - bounds[at])
+            u.append(x)
+            v.append(y)
+            wide.append(np.full(len(x), key[1, a] >= 0))
+        at = to
+    release()
+    return pa.table({"u": np.concatenate(u), "v": np.concatenate(v), "wide": np.concatenate(wide)})
+
+
+def _load():
+    """Units that rows' texts fill."""
+    return F.greatest(F.sum("bytes") / UNIT_BYTES, F.sum("rows") / UNIT_ROWS)
 
 
 class _Job:
@@ -160,50 +251,55 @@ class _Job:
     def linked(self, d: DataFrame) -> DataFrame:
         return d.where(100 * F.col("inter") >= self.percent * F.col("uni"))
 
-    def links(self) -> Table:
-        twice = 2 * self.percent - 100
-        tested, rows, leaders = None, self.first.df.where("c <> l"), 1
-        while rows is not None:
-            pairs = rows.select("l", "c").distinct()
-            if tested is not None:
-                pairs = pairs.join(tested.df.select("l", "c"), ["l", "c"], "left_anti")
-            new = self.verify(pairs, twice).df
-            tested = Table(new if tested is None else new.unionByName(tested.df), "tested")
-            ok = self.linked(tested.df)
-            # who is linked to one of its band's leaders has left the band; leaders have met all its members
-            left = rows.join(ok.select("l", "c", F.lit(True).alias("ok")), ["l", "c"], "left").groupBy("key", "c").agg(F.max("ok").alias("ok")).where("ok IS NULL")
-            heads = rows.select("key", F.col("l").alias("c")).distinct()
-            rest = left.join(heads, ["key", "c"], "left_anti").select("key", "c")
-            many = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-            active = Table(rest.join(many, "key"), "left")
-            if active.df.isEmpty():
-                rows = None
-            else:
-                leaders = min(leaders * 8, MAX_LEADERS)
-                rank = F.row_number().over(Window.partitionBy("key").orderBy("c"))
-                head = Table(active.df.withColumn("r", rank).where(F.col("r") <= leaders).select("key", F.col("c").alias("l")), "leaders")
-                salt = F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")
-                rows = active.df.withColumn("salt", salt).join(_salted(head.df), ["key", "salt"]).where("l < c").drop("salt")
-        tested = Table(tested.df.where(100 * F.col("inter") >= twice * F.col("uni")), "near-tested")
-        ok = self.linked(tested.df)
-        cc = components(ok.select(F.col("c").alias("u"), F.col("l").alias("v")))
-        label = cc.df.select(F.col("u").alias("m"), F.col("v").alias("lab"))
-        dist = 1 - F.col("inter") / F.col("uni")
-
-        def labelled(d: DataFrame, name: str) -> DataFrame:
-            d = d.select("l", F.col("c").alias(name), dist.alias("d" + name))
-            return d.join(label, d[name] == label["m"], "left").select("l", name, "d" + name, F.coalesce("lab", name).alias("l" + name))
-
-        near = labelled(ok, "x")
-        gray = labelled(tested.df.where(100 * F.col("inter") < self.percent * F.col("uni")), "y")
-        reach = 1 - self.percent / 100 + 1e-9
-        open_ = gray.join(near, "l").where((F.col("lx") != F.col("ly")) & (F.col("dx") >= F.col("dy") - reach))
-        pairs = open_.select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("c")).distinct().join(tested.df, ["l", "c"], "left_anti")
-        late = self.verify(pairs, self.percent)
-        more = self.linked(late.df)
-        if more.isEmpty():
-            return cc
-        return components(cc.df.unionByName(more.select(F.col("c").alias("u"), F.col("l").alias("v"))))
+    def wide(self, rows: DataFrame) -> tuple[DataFrame, Table]:
+        """Units of the bands of groups that are too large for a task, and the components of the links of bands' smallest members. rows: key, l, c, bytes, rows."""
+        star = self.linked(self.verify(rows.where("c <> l").select("l", "c").distinct(), self.percent).df)
+        cc = components(star.select(F.col("c").alias("u"), F.col("l").alias("v")))
+        label = cc.df.select(F.col("u").alias("c"), F.col("v").alias("lab"))
+        d = Table(rows.join(label, "c", "left").select("key", "c", "bytes", "rows", F.coalesce("lab", "c").alias("lab")), "wide")
+        most = d.df.groupBy("key", "lab").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "lab")).alias("m"), F.count("*").alias("labs"))
+        most = most.where("labs > 1").select("key", F.col("m.lab").alias("most"))
+        # bands of the same members are one
+        same = d.df.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("h1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("h2"))
+        one = same.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+        d = Table(d.df.join(most, "key").join(one, "key").withColumn("other", F.col("lab") != F.col("most")).drop("most"), "open")
+        p = d.df.groupBy("key").agg(F.ceil(_load()).cast("int").alias("p"))
+        q = d.df.where("other").groupBy("key").agg(F.ceil(_load()).cast("int").alias("q"))
+        d = d.df.join(p, "key").join(q, "key")
+        part = lambda of: F.pmod(F.xxhash64("c"), F.greatest(of, F.lit(1))).cast("int")
+        each = lambda of: F.explode(F.sequence(F.lit(0), F.greatest(F.col(of), F.lit(1)) - 1))
+        sides = [("other", part("q").alias("i"), each("p").alias("j"), True), ("true", each("q").alias("i"), part("p").alias("j"), False)]
+        one, two = (d.where(who).select("key", i, j, "c", "lab", F.array("key").alias("keys"), F.lit(left).alias("left"), F.lit(not left).alias("right"), "other", "bytes") for who, i, j, left in sides)
+        return one.unionByName(two), cc
+
+    def links(self) -> DataFrame:
+        """u, v: v is the smallest class of u's component, for each u that isn't itself the smallest."""
+        groups = components(self.first.df.where("c <> l").select(F.col("c").alias("u"), F.col("l").alias("v")))
+        label = groups.df.select(F.col("u").alias("c"), F.col("v").alias("g"))
+        weight = self.texts.df.groupBy("c").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows"))
+        members = Table(weight.join(label, "c", "left").select("c", F.coalesce("g", "c").alias("g"), "bytes", "rows"), "members")
+        load = Table(members.df.groupBy("g").agg(_load().alias("load")), "groups")
+        keys = self.first.df.groupBy("c").agg(F.collect_list("key").alias("keys"))
+        yes, none = F.lit(True), F.lit(-1)
+        units = members.df.join(load.df.where("load <= 1"), "g").join(keys, "c")
+        units = units.select(F.col("g").alias("key"), none.alias("i"), none.alias("j"), "c", F.col("c").alias("lab"), "keys", yes.alias("left"), yes.alias("right"), yes.alias("other"), "bytes")
+        large = load.df.where("load > 1")
+        cc = None
+        if not large.isEmpty():
+            rows = Table(self.first.df.join(members.df.join(large, "g").select("c", "bytes", "rows"), "c"), "large")
+            wide, cc = self.wide(rows.df)
+            units = units.unionByName(wide)
+        units = Table(units, "units")
+        n = -(-(units.df.agg(F.sum("bytes")).first()[0] or 1) // BUCKET_BYTES)
+        # an id with several texts has no sketch of its own: its pairs go to the full sets
+        sketch = self.sketches.df.groupBy("c").agg(F.when(F.count("*") == 1, F.max("sketch")).alias("sketch"))
+        bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(n))
+        percent = self.percent
+        found = units.df.drop("bytes").join(sketch, "c").join(self.texts.df, "c").groupBy(bucket.alias("bucket")).applyInArrow(lambda group: _link(group, percent), "u long, v long, wide boolean")
+        found = Table(found, "links").df
+        if cc is None:
+            return found.select("u", "v")
+        return components(found.where("wide").select("u", "v").unionByName(cc.df)).df.unionByName(found.where("NOT wide").select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -216,7 +312,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     a null component and are kept. An empty table gives no rows.
     """
     job = _Job(docs, percent)
-    cc = job.links().df.select(F.col("u").alias("rep"), F.col("v").alias("lab"))
+    cc = job.links().select(F.col("u").alias("rep"), F.col("v").alias("lab"))
     label = job.classes.df.join(cc, "rep", "left").select("s1", "s2", "n_rows", F.coalesce("lab", "rep").alias("component_id"))
     label = Table(label, "labels").df
     rows = job.keys.df

@@ -113,3 +113,52 @@ def test_hot_classes(spark, monkeypatch):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(i, 0) for i in range(9)] + [(20, 20), (21, 20), (22, 22)]
     assert len(got) == len(rows)
+
+
+def _boilerplate(seed, n):
+    """Short texts of a few shared lines, with a word changed here and there: one large group, in which few are linked."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    lines = [" ".join(word() for _ in range(9)) for _ in range(3)]
+    rows = []
+    for i in range(n):
+        own = [" ".join(word() for _ in range(r.choice([0, 2, 4, 9]))) for _ in range(r.choice([0, 1, 1]))]
+        text = " \n".join(r.sample(lines, r.choice([2, 3])) + own).split(" ")
+        rows.append((i, " ".join(word() if r.random() < 0.02 else w for w in text)))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [(200, 5, 300), (2000, 8192, 2000), (4_000_000, 30, 2_000_000)])
+def test_large_groups_in_parts(spark, monkeypatch, limits):
+    """Groups beyond a task's bounds are compared band by band in blocks, and lose no link."""
+    for name, value in zip(("UNIT_BYTES", "UNIT_ROWS", "BUCKET_BYTES"), limits):
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = _boilerplate(9, 160) + [(200, None), (201, ""), (None, "x y")]
+    got = set(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got - {(None, 1, None, True)} == brute([r for r in rows if r[0] is not None])
+
+
+def test_texts_are_read_once_a_group(spark, monkeypatch):
+    """What is sent to be compared grows as the group, not as its pairs."""
+    sent = []
+
+    class Kept(near_dedup.Table):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            if name in ("units", "pairs"):
+                sent.append(self.df.count())
+
+    monkeypatch.setattr(near_dedup, "Table", Kept)
+    docs = spark.createDataFrame(_boilerplate(4, 300), "doc_id long, text string")
+    near_duplicates(docs)
+    assert sum(sent) <= 300
+
+
+def test_an_id_with_several_texts_links_by_any(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    a, b = ([word() for _ in range(60)] for _ in range(2))
+    other = lambda t: " ".join([*t[:-1], "zz"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, other(a)), (3, other(b)), (4, " ".join(word() for _ in range(60)))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
