@@ -196,6 +196,8 @@ def _link(group: pa.Table, percent: int) -> pa.Table:
             v.append(y)
             wide.append(np.full(len(x), key[1, a] >= 0))
         at = to
+        del sets
+    del group
     release()
     return pa.table({"u": np.concatenate(u), "v": np.concatenate(v), "wide": np.concatenate(wide)})
 

@@ -21,6 +21,7 @@ exists, on disk or in memory.
 from __future__ import annotations
 
 import io
+import os
 import posixpath
 import re
 import struct
@@ -41,7 +42,7 @@ from .common import Table, release, scratch_path
 MAGIC = b"LGEF1\0\0\0"
 SAMPLE = 256
 #: Bytes of text that are encoded at a time.
-SLICE = 6_000_000
+SLICE = 3_000_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: Other white space: texts with it are encoded whole, as a cut beside it could change a piece.
@@ -186,8 +187,9 @@ _coders: dict[str, SegmentCoder] = {}
 
 
 def coder(path: str) -> SegmentCoder:
-    """One for each Python worker, which serves many tasks."""
+    """One for each Python worker, which serves many tasks. A task has a core: the library's threads, as many as the machine's cores in each worker, are off."""
     if path not in _coders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _coders[path] = SegmentCoder(load_tokenizer(path))
     return _coders[path]
 

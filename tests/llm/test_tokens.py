@@ -1,4 +1,7 @@
 import io
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -95,3 +98,19 @@ def test_many_files_a_part(spark, sf_dir):
     m = Table(write_tokens(docs, scratch_path(spark, "t"), tokenizer_path(), 2, partition_bytes=50_000, shard_bytes=3000), "manifest").df
     assert m.groupBy("part").count().count() > 4 and m.count() > m.select("part").distinct().count()
     assert sorted(map(tuple, read_tokens(m).collect())) == brute(rows)
+
+
+def test_a_task_encodes_in_its_own_thread():
+    """Each worker has a core; the library would start as many threads as the machine has."""
+    run = """
+import os, pyarrow as pa
+from loomgraph.llm.q_tokens import tokenizer_path
+from loomgraph.llm.token_file import coder
+c = coder(tokenizer_path())
+before = len(os.listdir("/proc/self/task"))
+c.ids(pa.array([f"segment {i}" for i in range(20_000)], pa.large_string()))
+print(before, len(os.listdir("/proc/self/task")))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    out = subprocess.run([sys.executable, "-c", run], env=env, capture_output=True, text=True, check=True).stdout.split()
+    assert out[0] == out[1]
