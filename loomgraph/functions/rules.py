@@ -1,7 +1,8 @@
 """Word rules as data, and their tests as Spark expressions on text in lower case.
 
 A pattern stands between word ends unless it begins or ends with ~. Each is tried only
-where a run of letters that it can't do without is in the text, which is a plain search.
+where the words are that it needs whole, which are looked up, or else where a run of
+letters that it can't do without is in the text, which is a plain search.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ INTENTS = {
     "scope": ["adapt to lifecycle", "context-aware|contextual|lifecycle-based", r"for\s+(?:exploring|in|planning|post|pre|ready|settled)", r"if\s+(?:the\s+)?(?:lifecycle|pathway|user)~", "in-process|post-immigration|pre-immigration|settled", "in_process|post_immigration|pre_immigration|settled_pr", r"when\s+(?:the\s+)?(?:lifecycle|status|user)~"],
     "question": [r"~^\s*\?\s*$~", r"ask\s+['\"]~", "inquire", "probe", "question"],
 }
+#: Words that make a constraint or a mandate severe.
+STRICT, FIRM = ["always ask", "never assume", "never skip"], ["mandatory", "must ask", "required"]
 STOP = """
 about above after again all already also and are because been before being below between both but can could did does down during each ever every few for from further get going got had has have here how into its
 just know let like make may might mine more most must need nor not off once only other our ours out over own same see shall should some still such sure take than that the their theirs then there these they think
@@ -59,32 +62,71 @@ def java(pattern: str) -> str:
     return "(?md)" + ("" if left else f"(?<!{_WORD})") + "(?:" + pattern.strip("~") + ")" + ("" if right else f"(?!{_WORD})")
 
 
-def needle(pattern: str) -> str:
-    """The longest run of plain characters that every match has; empty if none is found."""
+def _plain(pattern: str) -> str:
+    """A pattern with what isn't plain characters as zeros."""
     p = re.sub(r"\(\?[^()]*(?:\([^()]*\)[^()]*)*\)\??", "\0", pattern.strip("~"))
+    p = re.sub(r"\\([.?])(?![?*+])", lambda m: {".": "\1", "?": "\2"}[m[1]], p)
     p = re.sub(r"\[[^\]]*\][+*?]?|\\?.[?*]|\\.\+?|[\^$+.|]", "\0", p)
-    return max(p.split("\0"), key=len)
+    return p.replace("\1", ".").replace("\2", "?")
+
+
+def needle(pattern: str) -> str:
+    """The longest run of plain characters that every match has; empty if none is found."""
+    return max(_plain(pattern).split("\0"), key=len)
+
+
+def needed(pattern: str) -> list[str]:
+    """Words that every text with a match has, as whole ones: between spaces, or between a space and an end that is a word's."""
+    if "|" in re.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)", "", pattern):
+        return []
+    left, right = pattern.startswith("~"), pattern.endswith("~")
+    p = _plain(re.sub(r"\\s\+", " ", pattern))
+    return re.findall(r"(?<![^ ])[a-z]+(?![^ ])", "\0" * left + p + "\0" * right)
+
+
+#: A pattern of word characters only, which is one whole word of a text.
+PLAIN = re.compile(r"\w+")
+
+
+def words(text: Column) -> Column:
+    """The words of a text in lower case, each once, as far as a rule names them whole."""
+    named = {p for r in (TOPICS, SCOPES) for ws in r.values() for p in ws.split()} | {p for ps in INTENTS.values() for p in ps}
+    named = {x for w in named for v in ([w] if "(" in w else w.split("|")) for x in _spelt(v)} | {*STRICT, *FIRM}
+    named = sorted({p for p in named if PLAIN.fullmatch(p)} | {w for p in named for w in needed(p)})
+    return F.array_intersect(F.array(*map(F.lit, named)), F.split(text, r"[^\p{L}\p{N}_]+"))
+
+
+def _one(text: Column, pattern: str, found: Column | None = None) -> Column:
+    if found is not None and PLAIN.fullmatch(pattern):
+        return F.array_contains(found, pattern)
+    hit, n, own = text.rlike(java(pattern)), needle(pattern), needed(pattern) if found is not None else []
+    if own:
+        return reduce(lambda a, b: a & b, [F.array_contains(found, w) for w in own]) & hit
+    return text.rlike(re.escape(n)) & hit if n else hit  # for plain characters a pattern is faster than contains
 
 
-def _one(text: Column, pattern: str) -> Column:
-    found = text.rlike(java(pattern))
-    n = needle(pattern)
-    return text.contains(n) & found if n else found
+def _spelt(pattern: str) -> list[str]:
+    """A word with a character that may be missing, without and with it."""
+    m = re.fullmatch(r"([a-z]+)([a-z'])\?([a-z]+)", pattern)
+    return [m[1] + m[3], m[1] + m[2] + m[3]] if m else [pattern]
 
 
-def has(text: Column, pattern: str) -> Column:
-    """Whether a text in lower case matches; alternatives outside of groups are tried one by one."""
+def has(text: Column, pattern: str, found: Column | None = None) -> Column:
+    """Whether a text in lower case matches; alternatives outside of groups are tried one by one. found: its words, so that plain ones are looked for once."""
     parts = [pattern] if "(" in pattern else pattern.split("|")
-    return reduce(lambda a, b: a | b, [_one(text, p) for p in parts])
+    parts = [x for p in parts for x in _spelt(p)]
+    return reduce(lambda a, b: a | b, [_one(text, p, found) for p in parts])
 
 
-def labels(text: Column, rules: dict[str, str]) -> Column:
+def labels(text: Column, rules: dict[str, str], found: Column | None = None) -> Column:
     """Names of the rules of which a word hits a text in lower case, in order, as an array."""
-    return F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [_one(text, w) for w in words.split()]), F.lit(k)) for k, words in rules.items()]))
+    # plain words first, as they cost least
+    ordered = lambda ws: sorted(ws.split(), key=lambda w: not PLAIN.fullmatch(w))
+    return F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [_one(text, w, found) for w in ordered(ws)]), F.lit(k)) for k, ws in rules.items()]))
 
 
-def hits(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [has(text, p).cast("int") for p in patterns])
+def hits(text: Column, patterns: list[str], found: Column | None = None) -> Column:
+    return reduce(lambda a, b: a + b, [has(text, p, found).cast("int") for p in patterns])
 
 
 def polarity(text: Column) -> Column:

@@ -13,21 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rules import INTENTS, SCOPES, STOP, TOPICS, has, hits, labels
+from ..functions.rules import FIRM, INTENTS, SCOPES, STOP, STRICT, TOPICS, has, hits, labels, words
 from ..sources.scratch import materialize
+from .similar import similar_pairs
 from .traverse import components
 
 
 def _once(text: Column, fields) -> Column:
-    """A struct of fields, made from the text in lower case, which is computed once for all of them."""
-    return F.get(F.transform(F.array(F.lower(text)), lambda t: F.struct(*[c.alias(k) for k, c in fields(t).items()])), F.lit(0))
+    """A struct of fields, made from the text in lower case and its words, which are computed once for all of them."""
+    both = F.transform(F.array(F.lower(text)), lambda t: F.struct(t.alias("text"), words(t).alias("words")))
+    return F.get(F.transform(both, lambda x: F.struct(*[c.alias(k) for k, c in fields(x["text"], x["words"]).items()])), F.lit(0))
 
 
 def annotate(chunks: DataFrame) -> DataFrame:
     """Adds topics, scopes, question_ids (sorted arrays) and word_count."""
     t = F.col("text")
     ids = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(q_[a-z][a-z0-9_]*)\b"), F.lit(1))))
-    found = _once(t, lambda x: {"topics": labels(x, TOPICS), "scopes": labels(x, SCOPES)})
+    found = _once(t, lambda x, w: {"topics": labels(x, TOPICS, w), "scopes": labels(x, SCOPES, w)})
     d = chunks.select("*", found.alias("_a")).select("*", "_a.topics", "_a.scopes").drop("_a")
     return d.select("*", ids.alias("question_ids"), F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("word_count"))
 
@@ -35,8 +37,8 @@ def annotate(chunks: DataFrame) -> DataFrame:
 def classify(chunks: DataFrame) -> DataFrame:
     """Adds score_<family>, intents, primary_intent (most hits, first family on ties), confidence (its share of all hits) and severity."""
 
-    def fields(x):
-        return {f"score_{k}": hits(x, p) for k, p in INTENTS.items()} | {"strict": has(x, "always ask|never assume|never skip"), "firm": has(x, "mandatory|must ask|required")}
+    def fields(x, w):
+        return {f"score_{k}": hits(x, p, w) for k, p in INTENTS.items()} | {"strict": has(x, "|".join(STRICT), w), "firm": has(x, "|".join(FIRM), w)}
 
     names = list(INTENTS)
     d = chunks.select("*", _once(F.col("text"), fields).alias("_a")).select("*", *[F.col(f"_a.score_{k}") for k in names], "_a.strict", "_a.firm").drop("_a")
@@ -142,27 +144,13 @@ def similar_sets(k: DataFrame, least: float = 0.65, high: float = 0.8) -> DataFr
     """Pairs of keyword sets of one file with a Jaccard similarity of at least `least`: file, a, b (first chunks), n_a, n_b (chunks with that set), n_pairs, shared, similarity, severity.
 
     Chunks with equal sets are one class, and if they are several, one row with a = b.
-    Exact prefix filtering: with its words ordered by rarity, a set of n shares one of its
-    first n - ceil(least * n) + 1 words with any set alike enough, so only these are
-    joined; sizes are compared before anything is counted, and candidates are verified on
-    the whole sets.
+    Pairs are found as in `similar`, none of them leaving its task before it is counted.
     """
-    sets = materialize(k.groupBy("file", "w").agg(F.min("seq").alias("id"), F.count("*").alias("members")), "sets")
-    flat = sets.select("file", "id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    freq = flat.groupBy("file", "t").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(Window.partitionBy("file", "id").orderBy("f", "t"))
-    pre = flat.join(freq, ["file", "t"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(least * F.col("n")) + 1).where("f > 1")
-    pre = materialize(pre.select("file", "id", "n", "t"), "prefix")
-    b = pre.select("file", F.col("id").alias("id2"), F.col("n").alias("n2"), "t")
-    cand = pre.join(b, ["file", "t"]).where((F.col("id") < F.col("id2")) & (F.least("n", "n2") >= least * F.greatest("n", "n2"))).select("file", "id", "id2").distinct()
-    x = sets.select("file", F.col("id"), F.col("w").alias("w1"), F.col("members").alias("n_a"))
-    y = sets.select("file", F.col("id").alias("id2"), F.col("w").alias("w2"), F.col("members").alias("n_b"))
-    v = cand.join(x, ["file", "id"]).join(y, ["file", "id2"]).withColumn("shared", F.size(F.array_intersect("w1", "w2")).cast("long"))
-    union = F.size("w1") + F.size("w2") - F.col("shared")
-    v = v.where(100 * F.col("shared") >= round(100 * least) * union)
-    v = v.select("file", F.col("id").alias("a"), F.col("id2").alias("b"), "n_a", "n_b", (F.col("n_a") * F.col("n_b")).alias("n_pairs"), "shared", F.round(F.col("shared") / union, 6).alias("similarity"))
+    sets = materialize(k.groupBy("file", F.array_join("w", " ").alias("w")).agg(F.min("seq").alias("id"), F.count("*").alias("members")), "sets")
+    v = similar_pairs(sets, round(100 * least))
+    v = v.select("file", "a", "b", "n_a", "n_b", (F.col("n_a") * F.col("n_b")).alias("n_pairs"), "shared", F.round(F.col("shared") / F.col("united"), 6).alias("similarity"))
     m = F.col("members")
-    own = sets.where("members > 1").select("file", F.col("id").alias("a"), F.col("id").alias("b"), m.alias("n_a"), m.alias("n_b"), (m * (m - 1) / 2).cast("long").alias("n_pairs"), F.size("w").cast("long").alias("shared"), F.lit(1.0).alias("similarity"))
+    own = sets.where("members > 1").select("file", F.col("id").alias("a"), F.col("id").alias("b"), m.alias("n_a"), m.alias("n_b"), (m * (m - 1) / 2).cast("long").alias("n_pairs"), F.size(F.split("w", " ")).cast("long").alias("shared"), F.lit(1.0).alias("similarity"))
     return v.unionByName(own).withColumn("severity", F.when(F.col("similarity") >= high, "high").otherwise("medium"))
 
 
@@ -211,6 +199,7 @@ def redundancy_clusters(classified: DataFrame, sig: DataFrame, sets: DataFrame,
     chunks = materialize(chunks, "chunks")
     own = chunks.withColumn("topics", F.array_join("topics", ",")).join(sig, ["file", "intent", "topics", "scopes"])
     own = own.select("file", "seq", name(F.lit("S"), "first_seq").alias("id"))
+    sets = sets.select("file", "seq", F.array_join("w", " ").alias("w"))
     words = sets.join(sets.groupBy("file", "w").agg(F.min("seq").alias("first")), ["file", "w"]).select("file", "seq", name(F.lit("K"), "first").alias("id"))
     at = materialize(own.unionByName(words).join(nodes, "id", "left_semi"), "members")
     both = at.groupBy("file", "seq").agg(F.min("id").alias("source"), F.max("id").alias("target")).where("source <> target").select("source", "target")
