@@ -215,28 +215,34 @@ def test_files(files: DataFrame) -> DataFrame:
     return t.select("path", framework.alias("framework"), count.cast("long").alias("test_count"), families.alias("families"), F.array_join(imports, ",").alias("imports"), "seq")
 
 
-#: Length of the stems' beginnings by which sources and tests are joined.
+#: Length of the stems' beginnings by which pieces of tests are chosen.
 GRAM = 6
 
 
 def coverage_map(files: DataFrame) -> DataFrame:
     """Each source file with the first test whose stem holds its stem, underscores left out in both.
 
-    Not all pairs are compared: a source is sent to its stem's first GRAM letters (a
-    shorter one to all of them), a test to all pieces of up to so many letters of its own.
+    No pairs are compared. A test's stem is cut at the places where a source's stem may
+    begin, by its first GRAM letters (all of a shorter one), to the lengths that such stems
+    have; of equal pieces the first test's is kept, and joined with the sources by the whole stem.
     """
     bare = lambda c: F.replace(stem(c), F.lit("_"), F.lit(""))
-    tests = test_files(files).select(F.col("path").alias("test_path"), "test_count", F.col("seq").alias("tseq"), bare(F.col("path")).alias("tkey"))
+    tests = test_files(files).select(F.struct(F.col("seq").alias("tseq"), F.col("path").alias("test_path"), "test_count").alias("t"), bare(F.col("path")).alias("tkey"))
+    tests = tests.groupBy("tkey").agg(F.min("t").alias("t"))
     src = known(files).where(~is_test(F.col("path"))).select("path", "seq", bare(F.col("path")).alias("skey"))
-    at = F.sequence(F.lit(1), F.length("tkey"))
-    pieces = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.substring(F.col("tkey"), i, n))))
-    tw = tests.withColumn("gram", F.explode(F.array_distinct(pieces)))
-    hit = src.withColumn("gram", F.substring("skey", 1, GRAM)).join(tw, "gram").where(F.col("tkey").contains(F.col("skey")))
-    best = hit.groupBy("path").agg(F.min(F.struct("tseq", "test_path", "test_count")).alias("t")).withColumnRenamed("path", "p")
+    n = F.length("skey")
+    short = [r.n for r in src.where(n < GRAM).select(n.alias("n")).distinct().collect()]
+    lengths = src.groupBy(F.substring("skey", 1, GRAM).alias("gram")).agg(F.collect_set(n).alias("lengths"))
+    at = F.sequence(F.lit(1), F.greatest(F.length("tkey"), F.lit(1)))
+    pieces = lambda n: F.transform(at, lambda i: F.substring(F.col("tkey"), i, n))
+    grams = F.array_distinct(F.concat(*[pieces(F.lit(k)) for k in sorted({*short, GRAM})]))
+    cut = tests.withColumn("gram", F.explode(grams)).join(lengths, "gram").withColumn("n", F.explode("lengths"))
+    cut = cut.withColumn("skey", F.explode(F.array_distinct(F.filter(pieces(F.col("n")), lambda x: (F.length(x) == F.col("n")) & F.startswith(x, F.col("gram"))))))
+    best = cut.groupBy("skey").agg(F.min("t").alias("t"))
     n = F.coalesce("t.test_count", F.lit(0))
     est = F.when(n == 0, "none").when(n <= 2, "low").when(n <= 5, "medium").when(n <= 10, "high").otherwise("full")
     risk = F.when(F.col("t").isNull(), untested_risk(F.col("path"))).when(n > 5, "low").otherwise("medium")
-    return src.join(best, src["path"] == best["p"], "left").select("path", F.col("t.test_path").alias("test_path"), n.alias("test_count"), est.alias("estimate"), risk.alias("risk"))
+    return src.join(best, "skey", "left").select("path", F.col("t.test_path").alias("test_path"), n.alias("test_count"), est.alias("estimate"), risk.alias("risk"))
 
 
 def untested_risk(path: Column) -> Column:

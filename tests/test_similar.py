@@ -45,7 +45,7 @@ def test_word_rules_of_odd_texts(spark):
     bits += ["for\tplanning", "if the user", "when  status", "ask 'x", "don't", "dont", "dond", "must\nnot", "éask", "ask_", "认证", "ask-user", "e.g.x", "?", " ? ", "before we move", "types:", "\x01 \x02"]
     R = random.Random(3)
     texts = [R.choice(["", " ", "\n", "x", "_"]).join(R.choice(bits) for _ in range(R.randint(1, 6))) for _ in range(1500)]
-    d = spark.createDataFrame([(t.lower(),) for t in texts + ["", None]], "t string").select("t", rules.words(F.col("t")).alias("w"))
+    d = spark.createDataFrame([(t and t.lower(),) for t in [*texts, "", None]], "t string").select("t", rules.words(F.col("t")).alias("w"))
     bad = [F.count_if(~F.col("t").rlike(rules.java(p)).eqNullSafe(rules.has(F.col("t"), p, F.col("w")))) for p in plain]
     hit = [F.count_if(F.col("t").rlike(rules.java(p))) for p in plain]
     r = d.agg(*[c.alias(f"b{i}") for i, c in enumerate(bad)], *[c.alias(f"h{i}") for i, c in enumerate(hit)]).first()
