@@ -49,11 +49,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     und = materialize(edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct(), "cc")
     now = materialize(nodes.select("id", F.col("id").alias("component")), "cc")
     while True:
-        near = und.join(now.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("component").alias("c"))
-        step = now.join(near, "id", "left").select("id", F.least("component", "c").alias("component"))
+        near = und.hint("merge").join(now.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("component").alias("c"))
+        step = now.hint("merge").join(near, "id", "left").select("id", F.least("component", "c").alias("component"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("c"))
-        new = materialize(step.join(jump, "component", "left").select("id", F.least("component", "c").alias("component")), "cc")
-        moved = new.join(now.withColumnRenamed("component", "old"), "id").where("component <> old")
+        new = materialize(step.hint("merge").join(jump, "component", "left").select("id", F.least("component", "c").alias("component")), "cc")
+        moved = new.hint("merge").join(now.withColumnRenamed("component", "old"), "id").where("component <> old")
         now = new
         if moved.isEmpty():
             return now
@@ -196,52 +196,87 @@ def label_propagation(simple: DataFrame, entities: DataFrame, max_rounds: int =
     return now.join(big, "community").select("id", "community", "size")
 
 
-def greedy_modularity(simple: DataFrame, max_edges: int = 200_000) -> DataFrame:
+def greedy_modularity(simple: DataFrame) -> DataFrame:
     """id, community (its smallest id), size: communities of two and more by merging, again and again, the two whose union raises modularity most.
 
-    Each merge depends on the one before, so the graph is one task's; a larger one is
-    refused, and is label_propagation's. Ties go to the smaller ids.
+    Each merge depends on the one before, so the graph is one task's. Gains are whole
+    numbers, 2 m L - d e for m edges in all, L between two communities and their degrees d
+    and e. Ties go to the smaller ids. A union's other gains only fall as its degree rises,
+    so those in the heap are bounds, and are counted anew when they come up; only those of
+    the side with fewer neighbours are entered at once.
     """
     e = simple.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-    if e.limit(max_edges + 1).count() > max_edges:
-        raise ValueError(f"over {max_edges} edges: use label_propagation")
 
-    def run(pdf):
+    def run(table):
         import heapq
 
-        import pandas as pd
-
-        ids = sorted(set(pdf["a"]) | set(pdf["b"]))
-        at = {x: i for i, x in enumerate(ids)}
-        m = len(pdf)
-        near: list[dict] = [{} for _ in ids]
-        for x, y in zip(pdf["a"].map(at), pdf["b"].map(at)):
-            near[x][y] = near[y][x] = 1.0 / m
-        share = [sum(d.values()) / 2 for d in near]
-        members: list = [[i] for i in range(len(ids))]
-        gain = lambda x, y: near[x][y] - 2 * share[x] * share[y]
-        heap = [(-gain(x, y), x, y) for x in range(len(ids)) for y in near[x] if x < y]
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        m = table.num_rows
+        ends = pa.chunked_array([*table["a"].chunks, *table["b"].chunks]).combine_chunks()
+        ids = pc.unique(ends)
+        ids = ids.take(pc.sort_indices(ids))
+        at = pc.index_in(ends, ids).to_numpy().astype(np.int64)
+        n = len(ids)
+        first, second = at[:m].tolist(), at[m:].tolist()
+        degree = np.bincount(at, minlength=n).tolist()
+        del table, ends, at
+        near: list = [{} for _ in range(n)]
+        for x, y in zip(first, second):
+            near[x][y] = near[y][x] = 1
+        # a community is a place in near; its name is its smallest member, and an entry has the names of two
+        top, place, root = 2 * m * m + 1, list(range(n)), list(range(n))
+        heap = [((top - 2 * m + degree[x] * degree[y]) * n + min(x, y)) * n + max(x, y) for x, y in zip(first, second) if degree[x] * degree[y] < 2 * m]
+        del first, second
+        name = list(range(n))
         heapq.heapify(heap)
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         while heap:
-            g, x, y = heapq.heappop(heap)
-            if not members[x] or not members[y] or y not in near[x] or abs(gain(x, y) + g) > 1e-15:
-                continue  # an older state's
-            if -g <= 1e-12:
-                break
-            members[x] += members[y]
-            members[y] = []
-            share[x] += share[y]
-            for z, w in near[y].items():
-                del near[z][y]
-                if z != x:
-                    near[x][z] = near[z][x] = near[x].get(z, 0.0) + w
-            near[y] = {}
-            for z in near[x]:
-                heapq.heappush(heap, (-gain(*sorted((x, z))), *sorted((x, z))))
-        rows = [(ids[i], ids[min(g)], len(g)) for g in members if len(g) > 1 for i in g]
-        return pd.DataFrame(rows, columns=["id", "community", "size"])
-
-    return e.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "id string, community string, size long")
+            entry = heap[0]
+            rest, old_y = divmod(entry, n)
+            key, old_x = divmod(rest, n)
+            x, y = find(old_x), find(old_y)
+            if x == y:
+                heapq.heappop(heap)
+                continue
+            x, y = (x, y) if x < y else (y, x)
+            p, q = place[x], place[y]
+            now = top - 2 * m * near[p][q] + degree[p] * degree[q]
+            if now >= top:
+                heapq.heappop(heap)
+                continue
+            if now != key or (x, y) != (old_x, old_y):
+                heapq.heapreplace(heap, (now * n + x) * n + y)
+                continue
+            heapq.heappop(heap)
+            root[y] = x
+            if len(near[p]) < len(near[q]):
+                p, q = q, p
+            degree[p] += degree[q]
+            place[x], name[p] = p, x
+            mine, gone, near[q] = near[p], near[q], None
+            del mine[q], gone[p]
+            for z, w in gone.items():
+                other = near[z]
+                del other[q]
+                mine[z] = other[p] = w = mine.get(z, 0) + w
+                value = top - 2 * m * w + degree[p] * degree[z]
+                if value < top:
+                    heapq.heappush(heap, (value * n + min(x, name[z])) * n + max(x, name[z]))
+        of = np.array([find(x) for x in range(n)])
+        size = np.bincount(of, minlength=n)[of]
+        some = np.flatnonzero(size > 1)
+        return pa.table({"id": ids.take(some).cast(pa.string()), "community": ids.take(of[some]).cast(pa.string()), "size": size[some].astype(np.int64)})
+
+    return e.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(run, "id string, community string, size long")
 
 
 def modularity(simple: DataFrame, communities: DataFrame) -> float:
